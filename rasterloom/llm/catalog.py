@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_warc": warc.op10_warc,
 }
-SQL = {"op7_mixing": mixing.OP7_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {"op7_mixing": mixing.OP7_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op10_warc": warc.OP10_SQL}
