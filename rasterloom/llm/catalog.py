@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, simhash, toxicity, warc
+from . import exact_dedup, language_model, mixing, pieces, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_lm_scores": language_model.op3_lm_scores,
     "op4_quality": quality.op4_quality,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
