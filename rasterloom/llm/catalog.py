@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, mixing, pieces, quality, simhash, toxicity, warc
+from . import exact_dedup, language_model, mixing, pieces, quality, repeats, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_repeats": repeats.op2_repeats,
     "op3_lm_scores": language_model.op3_lm_scores,
     "op4_quality": quality.op4_quality,
     "op5_sentencepiece": pieces.op5_sentencepiece,
