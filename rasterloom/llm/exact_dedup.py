@@ -22,6 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .row_keys import KEY, keyed
 from .shared import materialize
 
 BLOCK_CHARS = 16384
@@ -116,6 +117,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def without_exact_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: one of equal texts, that with the largest doc_id."""
+    rows = keyed(docs)
+    dropped = exact_dedup(rows, id_col=KEY).where("not kept").select(F.col("doc_id").alias(KEY))
+    return rows.join(dropped, KEY, "left_anti").select(*docs.columns)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .row_keys import KEY, keyed
 from .shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,28 +103,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The documents of the mix, each as often as taken, with the columns of docs. Copies of a repeated doc_id are
-    shared out among its rows' texts by joining on doc_id, source and size."""
-    taken = mix(docs, most=most).where("copies > 0")
-    # Rows with one doc_id, source and size are alike for the mix: their copies are numbered together.
-    rows = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    numbered = (
-        docs.withColumn("_size", size)
-        .withColumn("_place", F.row_number().over(own) - 1)
-        .withColumn("_rows", F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
-    rows = rows.withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_words", "copies": "_copies"})
-    share = F.floor((F.col("_copies") + F.col("_rows") - 1 - F.col("_place")) / F.col("_rows")).cast("int")
-    return (
-        numbered.join(
-            rows,
-            numbered["doc_id"].eqNullSafe(rows["_id"]) & numbered["source"].eqNullSafe(rows["_source"]) & (numbered["_size"] == rows["_words"]),
-        )
-        .withColumn("_copy", F.explode(F.when(share > 0, F.sequence(F.lit(1), share)).otherwise(F.array())))
-        .select(*docs.columns)
-    )
+    """The documents of the mix, each as often as taken, with the columns of docs."""
+    rows = keyed(docs)
+    copies = mix(rows, id_col=KEY, most=most).where("copies > 0").select(F.col("doc_id").alias(KEY), F.col("copies").alias("_copies"))
+    return rows.join(copies, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

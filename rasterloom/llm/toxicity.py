@@ -12,7 +12,7 @@ over all whole texts, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,25 +123,47 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs:
     return np.frombuffer(got[0]["at"], np.int64), np.frombuffer(got[0]["w"], np.float64)
 
 
+def scorer(at: np.ndarray, w: np.ndarray, dim_bits: int = DIM_BITS) -> Callable[[pa.Array], np.ndarray]:
+    """Scores of a column of texts, from sparse weights."""
+    dense = np.zeros((1 << dim_bits) + 1)
+    dense[at] = w
+    used = dense != 0
+
+    def score(texts: pa.Array) -> np.ndarray:
+        out = [np.zeros(0)]
+        for g in grouped(texts):
+            index, bounds = features(g, dim_bits, used)
+            out.append(1.0 / (1.0 + np.exp(-np.clip(sums(dense[index], bounds) + dense[-1], -35, 35))))
+        return np.concatenate(out)
+
+    return score
+
+
 def score_texts(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], dim_bits: int = DIM_BITS) -> DataFrame:
-    """Adds score to (doc_id, text), as (doc_id, score)."""
+    """(doc_id, score) of (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = sent.value
-        dense = np.zeros((1 << dim_bits) + 1, np.float64)
-        dense[at] = w
-        used = dense != 0
+        score = scorer(*sent.value, dim_bits)
         for b in batches:
-            out = [np.zeros(0)]
-            for g in grouped(b.column(1)):
-                index, bounds = features(g, dim_bits, used)
-                out.append(1.0 / (1.0 + np.exp(-np.clip(sums(dense[index], bounds) + dense[-1], -35, 35))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, dim_bits: int = DIM_BITS) -> DataFrame:
+    """The rows of docs whose text isn't predicted toxic, with all their columns, in one pass without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(~held_out()), max_train, dim_bits=dim_bits))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(*sent.value, dim_bits)
+        for b in batches:
+            yield b.filter(pa.array(score(b.column(place)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(stable_hash(F.col("doc_id")) % 4 == 2, F.lit(False))
 
