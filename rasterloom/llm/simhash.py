@@ -1,14 +1,16 @@
 """SimHash near-duplicates by a self-join of the binary trie of fingerprints.
 
-The join walks pairs of trie nodes from the pair (root, root): children are paired, the differing
-bit is charged, and a pair is dropped as soon as it has spent more than the allowed distance.
-
-Scale: distinct fingerprints only (copies share one). The top of the trie is walked over a histogram
-of 16-bit prefixes (at most 65,536 counts, whatever the input), which gives subtrees of bounded size
-and the pairs of subtrees within the distance; each such pair is one group, in which numpy walks all
-node pairs of a level at once. A group emits a spanning forest of its links, at most one link a
-fingerprint, so dense groups of copies don't square. Components are then found by alternating
-large-star and small-star steps, which are equi-joins with partial minima.
+The join walks pairs of trie nodes from the root down: children are paired, a differing bit is
+charged, and a pair is dropped as soon as it has spent more than the allowed distance.
+
+Scale: distinct fingerprints only (copies share one). Two within distance d agree on at least one of
+d + 1 blocks of bits. So for each block the trie is built with that block's bits at the top, where
+nothing may be spent: its subtrees below the block are dealt out by the block's value, d + 1 rows a
+fingerprint whatever the input, and walked on their own. A value that more than HOT fingerprints share
+is split by blocks of the remaining bits in the same way. A task walks all of its node pairs of a
+level at once, and emits a spanning forest of its links, at most one link a fingerprint, so dense
+groups of copies don't square. Components are then found by alternating large-star and small-star
+steps, which are equi-joins with partial minima.
 """
 
 from __future__ import annotations
@@ -16,17 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, SPACE, U, Texts, grouped, sums, xxh64
+from .row_keys import KEY, keyed
 from .shared import materialize
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
-#: Fingerprints of a subtree: more are split, down to prefixes of TOP_BITS.
-SUBTREE, TOP_BITS = 40_000, 16
+#: Fingerprints that may share a block's value before it is split again; rows of a task.
+HOT, TASK_ROWS = 50_000, 400_000
 
 
 def fingerprints(group: Texts, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -67,44 +69,41 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, distance: int = DISTANCE, top: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j) of fingerprints a[i], b[j] that differ in at most `distance` bits; with b None, i < j within a.
+def trie_pairs(a: np.ndarray, distance: int = DISTANCE, top: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (i, j), i < j, of the sorted uint64 that differ in at most `distance` bits, and in none of the first `top`.
 
-    a and b: sorted uint64, the root's children split at bit 63 - top. A node is a range of the sorted array.
+    A node is a range of a; the walk starts from the pairs (node, node) of level `top`.
     """
-    same = b is None
-    b = a if same else b
-    if not len(a) or not len(b):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    # A stack of (level, node ranges, bits spent): frontiers are cut so that memory stays bounded.
-    stack = [(top, *(np.array([x], np.int64) for x in (0, len(a), 0, len(b))), np.zeros(1, np.int64))]
+    head = a >> U(64 - top) if top else np.zeros(len(a), U)
+    lo = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(a) else np.zeros(0, np.int64)
+    hi = np.append(lo[1:], len(a)).astype(np.int64)
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    # A stack of frontiers (level, node ranges, bits spent), cut so that memory stays bounded.
+    stack = [(top, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while stack:
         level, alo, ahi, blo, bhi, spent = stack.pop()
-        small = (ahi - alo) * (bhi - blo) <= 8 if level < 64 else np.ones(len(alo), bool)
+        small = (ahi - alo) * (bhi - blo) <= 16 if level < 64 else np.ones(len(alo), bool)
         if small.any():
-            lo, m, blo_, n = alo[small], (ahi - alo)[small], blo[small], (bhi - blo)[small]
+            lo, m, other, n = alo[small], (ahi - alo)[small], blo[small], (bhi - blo)[small]
             size = m * n
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            i, j = np.repeat(lo, size) + k // np.repeat(n, size), np.repeat(blo_, size) + k % np.repeat(n, size)
-            near = np.bitwise_count(a[i] ^ b[j]) <= distance
-            if same:
-                near &= i < j
+            i, j = np.repeat(lo, size) + k // np.repeat(n, size), np.repeat(other, size) + k % np.repeat(n, size)
+            near = (i < j) & (np.bitwise_count(a[i] ^ a[j]) <= distance)
             found.append((i[near], j[near]))
             if small.all():
                 continue
             alo, ahi, blo, bhi, spent = (x[~small] for x in (alo, ahi, blo, bhi, spent))
-        amid, bmid = _split(a, alo, ahi, level), _split(b, blo, bhi, level)
+        amid, bmid = _split(a, alo, ahi, level), _split(a, blo, bhi, level)
         parts = [(alo, amid, blo, bmid, spent), (amid, ahi, bmid, bhi, spent), (alo, amid, bmid, bhi, spent + 1), (amid, ahi, blo, bmid, spent + 1)]
-        if same:  # (x, y) and (y, x) below one node are one pair
-            own = alo == blo
-            parts[3] = tuple(x[~own] for x in parts[3])
+        own = alo == blo  # below one node, (x, y) and (y, x) are one pair
+        parts[3] = tuple(x[~own] for x in parts[3])
         nxt = [np.concatenate(x) for x in zip(*parts, strict=True)]
         ok = (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & (nxt[4] <= distance)
         nxt = [x[ok] for x in nxt]
-        for k in range(0, len(nxt[0]), 1 << 18):
-            stack.append((level + 1, *(x[k : k + (1 << 18)] for x in nxt)))
-    return np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64), np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+        for k in range(0, len(nxt[0]), 1 << 17):
+            stack.append((level + 1, *(x[k : k + (1 << 17)] for x in nxt)))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def _split(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
@@ -133,69 +132,62 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _subtrees(counts: dict[int, int], most: int) -> list[tuple[int, int]]:
-    """(depth, prefix) of the trie's subtrees with at most `most` fingerprints, or of TOP_BITS."""
-    out, stack = [], [(0, 0, sorted(counts.items()))]
-    while stack:
-        depth, prefix, own = stack.pop()
-        if not own:
-            continue
-        if depth == TOP_BITS or sum(n for _, n in own) <= most:
-            out.append((depth, prefix))
-            continue
-        bit = TOP_BITS - 1 - depth
-        for side in (0, 1):
-            stack.append((depth + 1, prefix * 2 + side, [x for x in own if x[0] >> bit & 1 == side]))
-    return sorted(out, key=lambda x: x[1] << (TOP_BITS - x[0]))
-
-
-def _subtree_pairs(trees: list[tuple[int, int]], distance: int) -> list[tuple[int, int]]:
-    """Pairs of subtrees (first <= second) whose common prefixes differ in at most `distance` bits: the top of the walk."""
-    low = np.array([p << (TOP_BITS - d) for d, p in trees], np.int64)
-    depth = np.array([d for d, _ in trees], np.int64)
-    out = []
-    for k in range(len(trees)):
-        shift = TOP_BITS - np.minimum(depth[k], depth[k:])
-        near = np.bitwise_count((low[k] >> shift) ^ (low[k:] >> shift)) <= distance
-        out += [(k, k + int(x)) for x in np.flatnonzero(near)]
-    return out
+def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
+    """(first, size) of `parts` blocks of about equal size."""
+    edge = [bits * k // parts for k in range(parts + 1)]
+    return [(i, j - i) for i, j in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, subtree: int = SUBTREE) -> DataFrame:
-    """Links (u, v) of the distinct long fp of fps: a forest with the components of `within distance`."""
-    spark = fps.sparkSession
-    head = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
-    counts = {r[0]: r[1] for r in fps.groupBy(head.alias("head")).count().collect()}
-    trees = _subtrees(counts, subtree)
-    if not trees:
-        return spark.createDataFrame([], "u long, v long")
-    low = np.array([p << (TOP_BITS - d) for d, p in trees])
-    pairs = _subtree_pairs(trees, distance)
-    member: dict[int, list[tuple[int, bool]]] = {k: [] for k in range(len(trees))}
-    for pair, (a, b) in enumerate(pairs):
-        member[a].append((pair, False))
-        if b != a:
-            member[b].append((pair, True))
-    of = np.searchsorted(low, sorted(counts), "right") - 1
-    table = spark.createDataFrame(
-        pd.DataFrame([(h, p, s) for h, k in zip(sorted(counts), of, strict=True) for p, s in member[int(k)]], columns=["head", "pair", "second"]),
-        "head int, pair int, second boolean",
-    )
+def _turned(fp: Column, by: int) -> Column:
+    return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        second = part["second"].to_numpy()
-        fp = part["fp"].to_numpy().view(np.uint64)
-        a, b = np.sort(fp[~second]), np.sort(fp[second])
-        own = not len(b)
-        i, j = trie_pairs(a, None if own else b, distance)
-        nodes = a if own else np.concatenate([a, b])
-        root = spanning(len(nodes), i, j if own else j + len(a))
+
+def near_links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Links (u, v) of the distinct long fp of fps: a forest with the components of `within distance`."""
+    blocks = _blocks(64, distance + 1)
+    heads = [
+        F.struct(F.lit(k).alias("block"), F.lit(size).alias("top"), _turned(F.col("fp"), first).alias("turned"), F.shiftrightunsigned(_turned(F.col("fp"), first), 64 - size).alias("head"))
+        for k, (first, size) in enumerate(blocks)
+    ]
+    rows = fps.select(F.explode(F.array(*heads)).alias("x")).select("x.*")
+    crowded = materialize(rows.groupBy("block", "head").count().where(F.col("count") > hot).select("block", "head", F.lit(True).alias("crowded")), "crowded")
+    n = fps.count()
+    if not crowded.isEmpty():
+        rows = rows.join(crowded, ["block", "head"], "left")
+        cases = F.when(F.col("crowded").isNull(), F.array(F.struct(F.col("turned"), F.lit(-1).alias("part"), F.lit(0).cast("long").alias("low"))))
+        for k, (_, size) in enumerate(blocks):
+            # The remaining bits, in blocks of their own: one must agree too.
+            parts = [
+                F.struct(F.col("turned"), F.lit(p).alias("part"), F.shiftrightunsigned(F.shiftleft("turned", size + first), 64 - width).alias("low"))
+                for p, (first, width) in enumerate(_blocks(64 - size, distance + 1))
+            ]
+            cases = cases.when(F.col("block") == k, F.array(*parts))
+        rows = rows.withColumn("x", F.explode(cases)).select("block", "top", "head", "x.*")
+        keys = ["block", "head", "part", "low"]
+    else:
+        keys = ["block", "head"]
+    tasks = max(1, -(-n * len(blocks) // task_rows), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    dealt = rows.repartition(tasks, *keys).select("block", "turned")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)) for b in batches]
+        if not got:
+            return
+        block, turned = (np.concatenate(x) for x in zip(*got, strict=True))
+        u, v = [], []
+        for k, (first, size) in enumerate(blocks):
+            a = np.unique(turned[block == k])
+            i, j = trie_pairs(a, distance, size)
+            fp = a if first == 0 else (a >> U(first)) | (a << U(64 - first))
+            u.append(fp[i])
+            v.append(fp[j])
+        u, v = np.concatenate(u), np.concatenate(v)
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = spanning(len(nodes), at[: len(u)], at[len(u) :])
         linked = np.flatnonzero(root != np.arange(len(nodes)))
-        return pd.DataFrame({"u": nodes[linked].view(np.int64), "v": nodes[root[linked]].view(np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked].view(np.int64)), pa.array(nodes[root[linked]].view(np.int64))], ["u", "v"])
 
-    # Bounded: at most 65,536 heads, each in few pairs of subtrees.
-    dealt = fps.select("fp", head.alias("head")).join(F.broadcast(table), "head").select("pair", "second", "fp")
-    return dealt.groupBy("pair").applyInPandas(join, "u long, v long")
+    return dealt.mapInArrow(join, "u long, v long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -258,5 +250,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the least doc_id."""
+    rows = keyed(docs)
+    dropped = simhash_dedup(rows, id_col=KEY).where("doc_id <> component_id").select(F.col("doc_id").alias(KEY))
+    return rows.join(dropped, KEY, "left_anti").select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
