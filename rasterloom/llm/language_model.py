@@ -31,7 +31,7 @@ from .shared import file_system, materialize, shared_path
 
 BEGIN, END = U(0x5BD1E995C2B2AE35), U(0x27D4EB2F9E3779B1)
 #: Text bytes of a shard, tokens that a task counts before it sends them, bytes of text scored at once.
-SHARD_BYTES, FLUSH_TOKENS, SCORE_BYTES = 8 << 20, 3_000_000, 4 << 20
+SHARD_BYTES, FLUSH_TOKENS, SCORE_BYTES = 8 << 20, 1_250_000, 4 << 20
 WORD_FIELDS = [("word", "<u8"), ("count", "<i8"), ("before", "<u4"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")]
 
 
@@ -60,7 +60,9 @@ def _shard(h: np.ndarray, bits: int) -> np.ndarray:
 
 def _slices(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal values in a sorted array."""
-    edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, int)
+    if not len(shard):
+        return
+    edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     for i, j in zip(edge, np.append(edge[1:], len(shard)), strict=True):
         yield int(shard[i]), slice(i, j)
 
