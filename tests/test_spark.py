@@ -34,7 +34,7 @@ def test_read_images(spark, folder):
     assert {k: r.status for k, r in rows.items()} == {"a.png": 0, "b.QOI": 0, "c.ppm": 0, "d.txt": -1, "e.png": -1, ".heic": -2}
     assert all(bytes(rows[k].data) == v.astype(np.uint8).tobytes() for k in ("a.png", "b.QOI", "c.ppm"))
     head = read_images(spark, path, glob="*.png", openIntent="readonly_header").where("status = 0").collect()
-    assert [(r.width, r.data) for r in head] == [(4, None), (4, None)]
+    assert [(r.width, r.data) for r in head] == [(4, None)]
 
 
 def test_pixels(spark, folder):
@@ -78,7 +78,7 @@ def test_clashing_columns_nulls_and_empty(spark):
 def test_chunk_relations_stop_at_damage(spark):
     png, one = R.png(np.zeros((1, 1, 1), int), 0), np.zeros((1, 1), int)
     rows = spark.createDataFrame([("a", bytearray(png)), ("b", bytearray(png[:40])), ("c", bytearray(b"no")), ("d", None)], "path string, content binary")
-    assert {r.path: r.n for r in png_chunks(rows).groupBy("path").agg(F.count("*").alias("n")).collect()}["a"] == 3
+    assert {r.path: r.n for r in png_chunks(rows).groupBy("path").agg(F.count("*").alias("n")).collect()}["a"] == 4
     jpg = spark.createDataFrame([("a", bytearray(R.flat_jpeg(one, one, one)))], "path string, content binary")
     assert [r.marker for r in jpeg_segments(jpg).orderBy("seq").collect()] == [0xE0, 0xDB, 0xC0, 0xC4, 0xC4, 0xDA]
 
