@@ -179,7 +179,8 @@ def blocks(group: Texts, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
     count = np.append(edge[1:], end) - edge
     edge, count = edge[inside[edge]], count[inside[edge]]
     text = np.searchsorted(group.start, edge, "right") - 1
-    return h[at[edge]], span_hash(prefix, edge, edge + count + length - 1), text, edge - group.start[text], count
+    # The least hashes are small numbers: mixed again, they are even over their range, as shards need.
+    return mixed(h[at[edge]] + U(1)), span_hash(prefix, edge, edge + count + length - 1), text, edge - group.start[text], count
 
 
 def _row(shard: int, kind: int, *arrays: np.ndarray) -> tuple:
