@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -41,8 +42,10 @@ def segments(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
+@lru_cache(maxsize=64)
 def code_table(counts: bytes, values: bytes) -> tuple[list[int], list[int]]:
-    """For each 16 bits that may come next: the length of the code they start with (0: none), and its symbol."""
+    """For each 16 bits that may come next: the length of the code they start with (0: none), and its symbol. Files of one
+    encoder mostly share their tables, so these are kept."""
     length, symbol = [0] * 65536, [0] * 65536
     code = k = 0
     for n in range(1, 17):

@@ -20,6 +20,8 @@ from ..schema import FIELDS, IMAGE, ImageError
 
 #: Decoded bytes that are held before a batch is handed on: a row may be megabytes.
 BATCH_BYTES = 32 << 20
+#: Samples of a batch of pixels.
+SAMPLES = 1 << 18
 
 
 def decode_images(files: DataFrame, options: ReadOptions | None = None, content: str = "content", codec_col: str | None = None, path: str = "path") -> DataFrame:
@@ -59,8 +61,17 @@ def to_pixels(images: DataFrame, key: str = "path") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(len(b)):
-                data, width, height, comps, depth, pad, order = (b.column(n)[k].as_py() for n in range(1, 8))
+            # Samples of many small images make a batch; a large one is cut into several.
+            held: list[tuple[np.ndarray, ...]] = []
+            n = 0
+
+            def batch() -> pa.RecordBatch:
+                own, *numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), *(pa.array(x, pa.int32()) for x in numbers)], [key, *"yxcv"])
+
+            for k, fields in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True)):
+                width, height, comps, depth, pad, order = fields
+                data = b.column(1)[k].as_buffer()
                 comps = comps or 1
                 size = 2 if depth == 16 else 1
                 row = width * comps * size
@@ -70,13 +81,16 @@ def to_pixels(images: DataFrame, key: str = "path") -> DataFrame:
                 if size == 2:
                     v = np.ascontiguousarray(v).view("<u2" if order in (0, 1) else ">u2")
                 v = v.reshape(-1).astype(np.int32)
-                step = max(1, (1 << 18) // (width * comps)) * width * comps
-                for i in range(0, len(v), step):
-                    part = v[i : i + step]
+                for i in range(0, len(v), SAMPLES):
+                    part = v[i : i + SAMPLES]
                     at = np.arange(i, i + len(part))
-                    arrays = [at // (width * comps), at // comps % width, at % comps]
-                    keys = pa.array([b.column(0)[k].as_py()] * len(part), b.column(0).type)
-                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(x.astype(np.int32)) for x in arrays), pa.array(part)], [key, *"yxcv"])
+                    held.append((np.full(len(part), k), at // (width * comps), at // comps % width, at % comps, part))
+                    n += len(part)
+                    if n >= SAMPLES:
+                        yield batch()
+                        held, n = [], 0
+            if held:
+                yield batch()
 
     return rows.mapInArrow(run, schema)
 

@@ -205,7 +205,8 @@ def flat_jpeg(y: np.ndarray, cb: np.ndarray, cr: np.ndarray, sampling: tuple[int
 
 
 def encoded(rows: DataFrame, key: str, values: str, encode: Callable[[np.ndarray], bytes], codec: str) -> DataFrame:
-    """(key, content, codec) of (key, array of numbers): encode gets each array."""
+    """(key, content, codec) of (key, array of numbers): encode gets each array. Coding takes far longer than reading, so
+    rows are dealt over all cores first, however few files or partitions they come from."""
     kind = rows.schema[key].dataType
 
     def run(batches):
@@ -216,4 +217,5 @@ def encoded(rows: DataFrame, key: str, values: str, encode: Callable[[np.ndarray
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(key, kind), T.StructField("content", T.BinaryType())])
-    return rows.select(key, values).mapInArrow(run, schema).withColumn("codec", F.lit(codec))
+    dealt = rows.select(key, values).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, schema).withColumn("codec", F.lit(codec))
