@@ -37,6 +37,8 @@ LENGTH, ANCHOR = 100, 24
 #: Text bytes of a shard, blocks that a task gathers before it sends them, blocks of one anchor in a task that make it
 #: frequent, bytes of a suffix array.
 SHARD_BYTES, FLUSH_BLOCKS, FREQUENT, ARRAY_BYTES = 8 << 20, 600_000, 64, 4 << 20
+#: Shards grow in number with the input up to 2**MOST_BITS; a partition takes several, one after the other, beyond MOST_PARTS.
+MOST_BITS, MOST_PARTS = 20, 1 << 16
 BLOCK, FREQUENT_BLOCK, MARK, REMOVED = range(4)
 SCHEMA = "shard int, kind int, a binary, b binary, c binary, d binary, e binary"
 
@@ -205,7 +207,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _shard(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> U(64 - bits)).astype(np.uint16)
+    return (h >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
 
 
 def _slices(key: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -335,10 +337,10 @@ def _bytes_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
             if again.any():
                 yield _row(i % (1 << bits), REMOVED, *_removed(wdoc[again], wat[again]))
             one, two, wdoc, wat = one[~again], two[~again], wdoc[~again], wat[~again]
-            cut = np.searchsorted(one, np.arange(1, 1 << bits, dtype=U) << U(64 - bits))
-            for s, (x, y) in enumerate(zip([0, *cut], [*cut, len(one)], strict=True)):
-                if x < y:
-                    yield _row(s, FREQUENT_BLOCK, wdoc[x:y].astype("<i8"), wat[x:y].astype("<u4"), one[x:y], two[x:y])
+            present = np.unique(_shard(one, bits))
+            cut = np.searchsorted(one, present.astype(U) << U(64 - bits))
+            for s, x, y in zip(present.tolist(), cut, np.append(cut[1:], len(one)), strict=True):
+                yield _row(s, FREQUENT_BLOCK, wdoc[x:y].astype("<i8"), wat[x:y].astype("<u4"), one[x:y], two[x:y])
 
 
 def _resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,8 +370,8 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataF
     """For docs (doc, text) with distinct doc: the texts dealt by doc, and (doc, spans), spans an array of (at, count):
     the windows at, ..., at + count - 1 are to be removed. Spans may overlap."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(3, int(np.ceil(np.log2(max(1, size / shard_bytes))))))
-    shards = 1 << bits
+    bits = min(MOST_BITS, max(3, int(np.ceil(np.log2(max(1, size / shard_bytes))))))
+    parts = min(1 << bits, MOST_PARTS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -390,10 +392,10 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataF
         yield from _batches(rows())
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(shards, "shard").sortWithinPartitions("shard")
+        return df.repartition(parts, "shard").sortWithinPartitions("shard")
 
     found = materialize(dealt(docs.mapInArrow(send, SCHEMA)).mapInArrow(_resolve_blocks, FOUND), "blocks")
-    texts = docs.repartition(shards, "doc")
+    texts = docs.repartition(parts, "doc")
     wanted = found.where(F.col("kind") != REMOVED).groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "at", "count")).alias("blocks"))
     fetched = texts.join(wanted, "doc").select("doc", "text", "blocks")
     edges = dealt(fetched.mapInArrow(lambda it: _batches(_bytes_of(it, bits)), SCHEMA)).mapInArrow(_resolve_windows, FOUND)
