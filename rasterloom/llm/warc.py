@@ -44,9 +44,10 @@ def records(pages: DataFrame) -> DataFrame:
     )
     same = ["payload_bytes", "payload_digest", "strong"]
     light = keyed.where(F.col("payload_bytes") >= DEDUP_BYTES).select("page_id", *same)
-    groups = light.groupBy(*same).agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    groups = light.groupBy(*same).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # A written table: the rows of a payload with very many copies can then be split over tasks in the join.
     revisits = (
-        light.join(groups.where("n > 1"), same)
+        light.join(materialize(groups, "payloads"), same)
         .where("page_id <> first")
         .select(F.col("page_id").alias("revisit_id"), F.col("strong").alias("revisit_of"), F.col("first").alias("refers_to"))
         .distinct()
