@@ -11,7 +11,8 @@ counts of counts at either order. Probabilities are put together while scoring.
 
 Scale: what is sent is at most one entry per distinct pair and task. A context with more than its
 share of all tokens is dealt by the following word instead, so no shard holds a frequent word's pairs
-alone; shards grow in number with the input, not in size. Workers map only pages that they look up.
+alone; shards grow in number with the input, not in size (to 2**20, at SHARD_BYTES each; beyond that
+in size). Workers map files when they first look something up in them, and read only pages that they need.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,11 @@ from .shared import file_system, materialize, shared_path
 
 BEGIN, END = U(0x5BD1E995C2B2AE35), U(0x27D4EB2F9E3779B1)
 #: Text bytes of a shard, tokens that a task counts before it sends them, bytes of text scored at once.
-SHARD_BYTES, FLUSH_TOKENS, SCORE_BYTES = 8 << 20, 1_250_000, 4 << 20
+SHARD_BYTES, FLUSH_TOKENS, SCORE_BYTES = 8 << 20, 1_000_000, 4 << 20
+#: Shards grow in number with the input up to 2**MOST_BITS; a partition takes several, one after the other, beyond MOST_PARTS.
+#: OPEN: files that a worker holds mapped.
+MOST_BITS, MOST_PARTS, OPEN = 20, 1 << 16, 4096
+NAME_BYTES = 12
 WORD_FIELDS = [("word", "<u8"), ("count", "<i8"), ("before", "<u4"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")]
 
 
@@ -46,12 +52,14 @@ def tokens(group: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def contexts(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The token before each one; BEGIN before a text's first."""
-    out = np.empty_like(token)
-    out[1:] = token[:-1]
-    out[bounds[:-1]] = BEGIN
-    return out
+def indexed(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct tokens (with BEGIN), each token's place among them, and that of the token before it: BEGIN before a
+    text's first, which stand at `first`."""
+    name, at = np.unique(np.append(token, BEGIN), return_inverse=True)
+    at, begin = at[:-1], at[-1]
+    before = np.concatenate([[begin], at[:-1]])
+    before[first] = begin
+    return name, at, before
 
 
 def _shard(h: np.ndarray, bits: int) -> np.ndarray:
@@ -83,12 +91,12 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _token_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and their contexts, in chunks of about FLUSH_TOKENS."""
+    """Tokens, and where texts start among them, in chunks of about FLUSH_TOKENS."""
     held, n = [], 0
     for b in batches:
         for g in grouped(b.column(0)):
             token, bounds = tokens(g)
-            held.append((token, contexts(token, bounds)))
+            held.append((token, bounds[:-1] + n))
             n += len(token)
             if n >= FLUSH_TOKENS:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -115,17 +123,17 @@ def _joined(parts: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
-def _dealt(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(shards, "shard").sortWithinPartitions("shard")
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    return df.repartition(parts, "shard").sortWithinPartitions("shard")
 
 
-def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
-    """Writes arrays one after the other to a file of a name of its own; the name."""
+def _store(folder: str, kind: str, shard: int, arrays: list[np.ndarray]) -> str:
+    """Writes arrays one after the other to a file of the shard; the end of its name, which no other attempt uses."""
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
-    name = f"{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-        for a in arrays.values():
+    name = uuid.uuid4().hex[:NAME_BYTES]
+    with fs.open_output_stream(f"{base}/{kind}-{shard}-{name}", compression=None) as out:
+        for a in arrays:
             out.write(np.ascontiguousarray(a).tobytes())
     return name
 
@@ -148,7 +156,8 @@ def _mapped(folder: str, name: str) -> np.ndarray:
 
 @dataclass
 class Counts:
-    """Sums over the training texts that the driver keeps: a few numbers, and one file name a shard."""
+    """Sums over the training texts that the driver keeps: a few numbers, at most four hot contexts a shard, and for each
+    shard its two files' names and sizes, in all at most 80 MB at 2**MOST_BITS shards."""
 
     folder: str
     bits: int
@@ -160,8 +169,14 @@ class Counts:
     pair_of_count: list[int] = field(default_factory=lambda: [0] * 5)  # [n] distinct pairs seen n times
     word_of_count: list[int] = field(default_factory=lambda: [0] * 5)  # [n] words with n distinct words before
     words_more: int = 0  # words with 3 or more distinct words before
-    pair_files: dict[int, tuple[str, int, int]] = field(default_factory=dict)
-    word_files: dict[int, tuple[str, int]] = field(default_factory=dict)
+    names: dict[str, np.ndarray] = field(default_factory=dict)  # of pairs and words: by shard, empty where there is no file
+    sizes: dict[str, np.ndarray] = field(default_factory=dict)  # (entries, large counts) of each
+
+    def add_file(self, kind: str, shard: int, name: str, size: tuple[int, ...]) -> None:
+        if kind not in self.names:
+            self.names[kind], self.sizes[kind] = np.zeros(1 << self.bits, f"S{NAME_BYTES}"), np.zeros((1 << self.bits, 2), np.int64)
+        self.names[kind][shard] = name
+        self.sizes[kind][shard, : len(size)] = size
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -176,8 +191,8 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Counts:
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
     n_texts, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    bits = min(16, max(2, int(np.ceil(np.log2(max(1, (size or 0) / shard_bytes))))))
-    shards = 1 << bits
+    bits = min(MOST_BITS, max(2, int(np.ceil(np.log2(max(1, (size or 0) / shard_bytes))))))
+    parts = min(1 << bits, MOST_PARTS)
     folder = shared_path(spark, "ngrams")
 
     def count_words(batches):
@@ -191,28 +206,32 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Counts:
             yield _batch([(shard, word, count)])
 
     words = materialize(
-        _dealt(texts.mapInArrow(count_words, "shard int, a binary, b binary"), shards).mapInArrow(merge_words, "shard int, a binary, b binary"), "words"
+        _dealt(texts.mapInArrow(count_words, "shard int, a binary, b binary"), parts).mapInArrow(merge_words, "shard int, a binary, b binary"), "words"
     )
 
-    def summary(batches):
-        for shard, (a, b) in _by_shard(batches):
-            word, count = _joined(a, "<u8"), _joined(b, "<i8")
-            top = np.argsort(count)[-64:]
-            yield _batch([(shard, np.array([len(word), count.sum()], "<i8"), word[top], count[top])])
-
-    seen = [tuple(np.frombuffer(x, t) for x, t in zip(r, ("<i8", "<u8", "<i8"), strict=True)) for r in words.mapInArrow(summary, "shard int, a binary, b binary, c binary").select("a", "b", "c").collect()]
-    vocabulary, total = (int(sum(x[0][k] for x in seen)) for k in (0, 1))
-    # Contexts with more tokens than a quarter of a shard's share, and BEGIN: a few a shard at most.
-    share = max(total / shards / 4, 1)
-    hot = np.sort(np.concatenate([np.array([BEGIN]), *(w[c > share] for _, w, c in seen)]).astype(U))
+    def sizes(batches):
+        for _, (a, b) in _by_shard(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, a)) // 8]), pa.array([int(_joined(b, "<i8").sum())])], ["n", "total"])
+
+    found = words.mapInArrow(sizes, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
+    vocabulary, total = (int(x or 0) for x in found)
+    # Contexts with more tokens than a quarter of a shard's share, so fewer than four a shard; and BEGIN.
+    share = max(total / (1 << bits) / 4, 1)
+
+    def frequent(batches):
+        for _, (a, b) in _by_shard(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(a, "<u8")[_joined(b, "<i8") > share].view(np.int64))], ["word"])
+
+    hot = np.array([r[0] for r in words.mapInArrow(frequent, "word long").collect()], np.int64).view(U)
+    hot = np.sort(np.append(hot, BEGIN))
     model = Counts(folder, bits, hot, n_texts, total, vocabulary)
 
     def count_pairs(batches):
-        for token, context in _token_chunks(batches):
-            names, at = np.unique(np.concatenate([token, context]), return_inverse=True)
-            pair, count = np.unique(at[len(token) :].astype(U) << U(32) | at[: len(token)].astype(U), return_counts=True)
+        for token, first in _token_chunks(batches):
+            names, at, before = indexed(token, first)
+            pair, count = np.unique(before.astype(U) << U(32) | at.astype(U), return_counts=True)
             h, w = names[(pair >> U(32)).astype(np.int64)], names[(pair & U(0xFFFFFFFF)).astype(np.int64)]
-            shard = pair_shard(h, w, model.hot, bits).astype(np.uint16)
+            shard = pair_shard(h, w, model.hot, bits).astype(np.uint16 if bits <= 16 else np.uint32)
             order = np.argsort(shard, kind="stable")
             h, w, count = h[order], w[order], count[order].astype("<i8")
             rows = []
@@ -237,7 +256,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Counts:
             order = np.argsort(key)
             key, own = key[order], count[order]
             large = np.flatnonzero(own >= 255)
-            name = _store(folder, "pairs", {"key": key, "large": large.astype("<i8"), "large_count": own[large], "count": np.minimum(own, 255).astype(np.uint8)})
+            name = _store(folder, "pairs", shard, [key, large.astype("<i8"), own[large], np.minimum(own, 255).astype(np.uint8)])
             told = np.array([len(key), len(large), *(int((count == k).sum()) for k in (1, 2, 3, 4))], "<i8")
             yield _row(shard, 0, name, told)
             # What follows each context, and how many contexts each word has, to the shards of the words.
@@ -252,11 +271,11 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Counts:
 
     schema = "shard int, kind int, name string, a binary, b binary"
     merged = materialize(
-        _dealt(texts.mapInArrow(count_pairs, "shard int, a binary, b binary, c binary, d binary"), shards).mapInArrow(merge_pairs, schema), "pairs"
+        _dealt(texts.mapInArrow(count_pairs, "shard int, a binary, b binary, c binary, d binary"), parts).mapInArrow(merge_pairs, schema), "pairs"
     )
     for r in merged.where("kind = 0").select("shard", "name", "a").collect():
         told = np.frombuffer(r["a"], "<i8")
-        model.pair_files[r["shard"]] = (r["name"], int(told[0]), int(told[1]))
+        model.add_file("pairs", r["shard"], r["name"], (told[0], told[1]))
         model.pairs += int(told[0])
         for k in (1, 2, 3, 4):
             model.pair_of_count[k] += int(told[1 + k])
@@ -276,16 +295,15 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Counts:
                 parts[0].append(word)
                 parts[1].append(value)
             word, value = _summed_rows(np.concatenate(parts[0]), np.concatenate(parts[1]))
-            arrays = {"word": word, "count": value[:, 0], **{n: value[:, k].astype("<u4") for k, n in ((1, "before"), (2, "one"), (3, "two"), (4, "more"))}}
-            name = _store(folder, "words", arrays)
+            name = _store(folder, "words", shard, [word, value[:, 0], *(value[:, k].astype("<u4") for k in (1, 2, 3, 4))])
             before = value[:, 1]
             yield _row(shard, 0, name, np.array([len(word), *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before >= 3).sum())], "<i8"))
 
     fields = merged.where("kind > 0").select("shard", "kind", "a", "b").unionByName(words.select("shard", F.lit(0).alias("kind"), "a", "b"))
-    stored = materialize(_dealt(fields, shards).mapInArrow(merge_fields, schema), "fields")
+    stored = materialize(_dealt(fields, parts).mapInArrow(merge_fields, schema), "fields")
     for r in stored.select("shard", "name", "a").collect():
         told = np.frombuffer(r["a"], "<i8")
-        model.word_files[r["shard"]] = (r["name"], int(told[0]))
+        model.add_file("words", r["shard"], r["name"], (told[0],))
         for k in (1, 2, 3, 4):
             model.word_of_count[k] += int(told[k])
         model.words_more += int(told[5])
@@ -316,27 +334,41 @@ class Scorer:
 
     def __init__(self, counts: Counts):
         self.c = counts
-        self.pairs, self.words = {}, {}
-        for shard, (name, n, large) in counts.pair_files.items():
-            raw = _mapped(counts.folder, name)
-            self.pairs[shard] = (raw[: 8 * n].view("<u8"), raw[8 * n : 8 * (n + large)].view("<i8"), raw[8 * (n + large) : 8 * (n + 2 * large)].view("<i8"), raw[8 * (n + 2 * large) :])
-        for shard, (name, n) in counts.word_files.items():
-            raw, at, parts = _mapped(counts.folder, name), 0, []
-            for _, kind in WORD_FIELDS:
-                size = n * np.dtype(kind).itemsize
-                parts.append(raw[at : at + size].view(kind))
-                at += size
-            self.words[shard] = parts
+        self.pairs, self.words = (lru_cache(OPEN)(f) for f in (self._pairs, self._words))
         self.d2, self.d1 = discounts(counts.pair_of_count), discounts(counts.word_of_count)
         one, two = counts.word_of_count[1:3]
         self.left = float(self.d1 @ [one, two, counts.words_more]) / counts.pairs if counts.pairs else 1.0
 
+    def _file(self, kind: str, shard: int) -> tuple[np.ndarray, int, int] | None:
+        if kind not in self.c.names or not (name := self.c.names[kind][shard].decode()):
+            return None
+        return _mapped(self.c.folder, f"{kind}-{shard}-{name}"), *map(int, self.c.sizes[kind][shard])
+
+    def _pairs(self, shard: int) -> tuple[np.ndarray, ...] | None:
+        """Keys, places of large counts, these, and counts up to 255. A shard's file is mapped when it is first looked up."""
+        if (got := self._file("pairs", shard)) is None:
+            return None
+        raw, n, large = got
+        return raw[: 8 * n].view("<u8"), raw[8 * n : 8 * (n + large)].view("<i8"), raw[8 * (n + large) : 8 * (n + 2 * large)].view("<i8"), raw[8 * (n + 2 * large) :]
+
+    def _words(self, shard: int) -> list[np.ndarray] | None:
+        """The arrays of WORD_FIELDS."""
+        if (got := self._file("words", shard)) is None:
+            return None
+        raw, n, _ = got
+        at, parts = 0, []
+        for _, kind in WORD_FIELDS:
+            size = n * np.dtype(kind).itemsize
+            parts.append(raw[at : at + size].view(kind))
+            at += size
+        return parts
+
     def word_fields(self, word: np.ndarray) -> np.ndarray:
         """count, before, one, two, more of sorted distinct words; zeros for unknown ones."""
         out = np.zeros((len(word), 5))
         for s, k in _slices(_shard(word, self.c.bits)):
-            if s in self.words:
-                key, *fields = self.words[s]
+            if mapped := self.words(s):
+                key, *fields = mapped
                 at = np.minimum(np.searchsorted(key, word[k]), len(key) - 1)
                 hit = np.asarray(key[at] == word[k])
                 for n, values in enumerate(fields):
@@ -348,8 +380,8 @@ class Scorer:
         shard, key = pair_shard(h, w, self.c.hot, self.c.bits), pair_hash(h, w)
         order = np.lexsort((key, shard))
         for s, k in _slices(shard[order]):
-            if s in self.pairs:
-                keys, large, large_count, count = self.pairs[s]
+            if mapped := self.pairs(s):
+                keys, large, large_count, count = mapped
                 own = key[order[k]]
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 n = np.where(keys[at] == own, count[at], 0).astype(np.float64)
@@ -365,9 +397,7 @@ class Scorer:
     def score(self, token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: known tokens, base score, model score."""
         c = self.c
-        context = contexts(token, bounds)
-        name, at = np.unique(np.concatenate([token, context]), return_inverse=True)
-        w, h = at[: len(token)], at[len(token) :]
+        name, w, h = indexed(token, bounds[:-1])
         fields = self.word_fields(name)
         count = fields[:, 0]
         base = np.log10((count + 0.5) / (c.tokens + 0.5 * (c.vocabulary + 1)))
