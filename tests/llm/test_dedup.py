@@ -194,11 +194,12 @@ def passages():
     return rows + [(5000 + k, t) for k, t in enumerate(ends)]
 
 
-@pytest.mark.parametrize("frequent", [64, 3])
-def test_repeats(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "shard_bytes", "parts"), [(64, 15000, 1 << 16), (3, 15000, 1 << 16), (3, 300, 5)])
+def test_repeats(spark, monkeypatch, frequent, shard_bytes, parts):
     monkeypatch.setattr(R, "FREQUENT", frequent)
+    monkeypatch.setattr(R, "MOST_PARTS", parts)
     rows = passages()
-    got = {r[0]: tuple(r[1:5]) for r in R.remove_repeats(documents(spark, rows).repartition(5), shard_bytes=15000).collect()}
+    got = {r[0]: tuple(r[1:5]) for r in R.remove_repeats(documents(spark, rows).repartition(5), shard_bytes=shard_bytes).collect()}
     assert got == cut(rows)
 
 

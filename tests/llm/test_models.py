@@ -149,6 +149,15 @@ def test_language_model(spark, monkeypatch, flush):
         assert sum(p(h, w) for w in one) + p(h, "unheard") == pytest.approx(1, rel=1e-9)
 
 
+def test_many_shards_of_a_partition_and_few_open_files(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_PARTS", 3)
+    monkeypatch.setattr(L, "OPEN", 2)
+    rows = [(k, prose(30)) for k in range(60)]
+    want, _, _ = reference_scores(rows)
+    for r in L.lm_scores(documents(spark, rows), shard_bytes=40).collect():
+        assert r.score == pytest.approx(want[r.doc_id][4], rel=1e-9)
+
+
 def test_language_model_counts_beyond_a_byte(spark):
     rows = [(k, "the cat " * 40) for k in range(60)]
     want, _, _ = reference_scores(rows)
