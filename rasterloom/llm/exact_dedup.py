@@ -11,8 +11,9 @@ SHA-256 occurs twice or more can have an equal, so only their blocks are named,
 digest's scope; a digest occurring once already proves a text to be unique.
 
 Scale: the whole texts are shuffled once, by document (no skew); blocks of copies collapse before
-they are shuffled (partial aggregation), and the joins back are plain equi-joins, which adaptive
-execution splits where one key is hot. Rounds: log2 of the longest duplicate's number of blocks.
+they are shuffled (partial aggregation), and names are written tables before rows are joined with
+them, so adaptive execution splits a hot group's rows over tasks. Rounds: log2 of the longest
+duplicate's number of blocks.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def _sorted_names(rows: DataFrame, keys: list[str], what: list[str]) -> DataFrame:
-    """A column name: the place of each distinct `what` in the order of those with the same keys."""
+    """A column name: the place of each distinct `what` in the order of those with the same keys. A written table: the
+    rows of a hot group can then be split over tasks when they are joined with it."""
     place = Window.partitionBy(*keys).orderBy(*what)
-    return rows.select(*keys, *what).distinct().withColumn("name", F.row_number().over(place))
+    return materialize(rows.select(*keys, *what).distinct().withColumn("name", F.row_number().over(place)), "names")
 
 
 def block_names(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -52,6 +54,7 @@ def block_names(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         .withColumn("n_blocks", F.size("cut"))
         .select("doc_id", "scope", "n_blocks", F.posexplode("cut").alias("at", "block"))
     )
+    blocks = materialize(blocks, "blocks")  # read twice: once for the names, once to be named
     keys = ["scope", "n_blocks", "at"]
     named = blocks.join(_sorted_names(blocks, keys, ["block"]), [*keys, "block"])
     named = materialize(named.select("doc_id", *keys, "name").distinct(), "block-names")
@@ -92,8 +95,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")
     ).withColumn("scope", F.sha2("text", 256))
     rows = materialize(texts.select("doc_id", "scope"), "digests")
-    several = rows.groupBy("scope").count().where("count > 1").select("scope")
-    ids = rows.join(several, "scope").distinct().withColumnsRenamed({"doc_id": "id", "scope": "digest"})
+    several = materialize(rows.groupBy("scope").count().where("count > 1").select("scope"), "repeated-digests")
+    # Distinct first: after the join it would bind a hot digest's rows to the partition of their digest.
+    ids = rows.distinct().join(several, "scope").withColumnsRenamed({"doc_id": "id", "scope": "digest"})
     members = texts.join(
         ids, texts["doc_id"].eqNullSafe(ids["id"]) & (texts["scope"] == ids["digest"]), "left_semi"
     )
@@ -107,12 +111,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("name", F.lit(0)).alias("name"),
     )
     key = ["scope", "n_blocks", "name"]
-    groups = rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, key).select(
+    groups = materialize(
+        rows.where("n_blocks > 0").groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups"
+    )
+    return rows.join(groups, key, "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
         F.col("scope").alias("text_sha256"),
     )
 
