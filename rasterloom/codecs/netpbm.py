@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 
@@ -52,13 +53,14 @@ def scaled(v: np.ndarray, maxval: int) -> np.ndarray:
 
 
 def _ascii(data: bytes, n: int) -> np.ndarray:
-    words = re.sub(rb"#[^\r\n]*", b" ", data).split()[:n]
-    if len(words) < n:
-        raise ImageError("samples are missing")
-    try:
-        return np.array(words, dtype="S").astype(np.int64)
-    except ValueError as e:
-        raise ImageError("a sample isn't a number") from e
+    """The first n numbers; what follows them doesn't count."""
+    text = re.sub(rb"#[^\r\n]*", b" ", data) if b"#" in data else data
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)  # text that isn't a number ends the numbers
+        v = np.fromstring(text, np.int64, n, sep=" ")
+    if len(v) < n:
+        raise ImageError("samples are missing, or one isn't a number")
+    return v
 
 
 def _binary(data: bytes, n: int, maxval: int) -> np.ndarray:

@@ -46,3 +46,19 @@ def pnm_header(b: Column) -> dict[str, Column]:
     number = [F.when(x != "", x.cast("int")) for x in got]
     kind = F.substring(text, 2, 1)
     return {"valid": number[0].isNotNull() & number[1].isNotNull(), "width": number[0], "height": number[1], "maxval": F.when(~kind.isin("1", "4"), number[2])}
+
+
+def jpeg_kind(b: Column) -> Column:
+    """jfif or exif, by the first segment of a JPEG; null for other content."""
+    head = F.hex(F.substring(b, 1, 4))
+    return F.when(head == "FFD8FFE0", F.lit("jfif")).when(head == "FFD8FFE1", F.lit("exif"))
+
+
+def is_app_marker(marker: Column) -> Column:
+    """Whether the second byte of a marker names an application segment."""
+    return marker.bitwiseAND(F.lit(0xF0)) == 0xE0
+
+
+def is_frame_marker(marker: Column) -> Column:
+    """Whether it starts a frame: DHT, JPG and DAC share the range, and don't."""
+    return (marker.bitwiseAND(F.lit(0xF0)) == 0xC0) & ~marker.isin(0xC4, 0xC8, 0xCC)

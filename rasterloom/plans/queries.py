@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as P
 from ..functions.binary import from_samples
 from ..functions.dispatch import codec, extension, extension_hash
-from ..functions.headers import bmp_header, png_header, pnm_header, qoi_header, tga_header
+from ..functions.headers import bmp_header, is_app_marker, is_frame_marker, jpeg_kind, png_header, pnm_header, qoi_header, tga_header
 from ..operators import decode as D
 from ..options import ReadOptions
 from ..sources.images import from_base64, from_hex
@@ -453,6 +453,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.jpeg_segments(made, "n_nationkey").groupBy("n_nationkey").agg(F.count("*").alias("n"), F.max(F.when(F.col("marker") == 0xFE, F.col("len"))).alias("comment_len"))
 
 
+@_query("jpeg_markers", "SELECT l_orderkey, l_linenumber, m BETWEEN 224 AND 239 AS app, m BETWEEN 192 AND 207 AND m NOT IN (196, 200, 204) AS frame, CASE m WHEN 224 THEN 'jfif' WHEN 225 THEN 'exif' END AS kind FROM (SELECT *, l_partkey % 256 AS m FROM lineitem)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = (F.col("l_partkey") % 256).cast("int")
+    head = F.unhex(F.concat(F.lit("FFD8FF"), F.lpad(F.hex(m), 2, "0")))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", is_app_marker(m).alias("app"), is_frame_marker(m).alias("frame"), jpeg_kind(head).alias("kind"))
+
+
 @_query("status_rows", "SELECT c_custkey % 8 AS kind, CASE c_custkey % 8 WHEN 5 THEN -1 WHEN 6 THEN -2 WHEN 7 THEN -1 ELSE 0 END AS status, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1, 2")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sound, foreign, unsupported and broken content side by side: every row has a status, none fails the query."""

@@ -1,5 +1,6 @@
 """Decoders against encoders and hand-made bytes; nothing here needs Spark."""
 
+import importlib
 import struct
 
 import numpy as np
@@ -15,6 +16,7 @@ from rasterloom.plans import rasters as R
 from rasterloom.schema import Alpha, Format, Orientation, Status
 
 RNG = np.random.default_rng(3)
+P = importlib.import_module("rasterloom.codecs.png")  # the package's name `png` is the decoder
 
 
 def px(h, w, c, top=256):
@@ -209,6 +211,25 @@ def test_png_small_samples(depth, interlace, w):
     assert kept["palette"]["count"] == 1 << depth and (samples(kept).reshape(5, -1) == R.packed_rows(v[:, :, 0], depth)).all()
 
 
+@pytest.mark.parametrize("bpp", [1, 3, 4, 8])
+@pytest.mark.parametrize("kinds", [[4], [3], [1], [0, 1, 2, 3, 4]])
+def test_diagonals_equal_rows(bpp, kinds):
+    rng = np.random.default_rng(bpp)
+    for h, w in ((1, 1), (1, 30), (30, 1), (17, 40), (40, 17)):
+        lines, above = rng.integers(0, 256, (h, w * bpp)).astype(np.uint8), rng.integers(0, 256, w * bpp).astype(np.uint8)
+        filters = rng.choice(kinds, h).astype(np.uint8)
+        assert (P._by_diagonals(lines, filters, above, bpp) == P._by_rows(lines, filters, above, bpp)).all()
+
+
+def test_large_png_in_bands(monkeypatch):
+    v = RNG.integers(0, 256, (150, 130, 3)).cumsum(0) % 256
+    data = R.png(v, 2)
+    for band, worth in ((256, 0), (37, 0), (37, 10**9), (256, 180)):
+        monkeypatch.setattr(P, "BAND", band)
+        monkeypatch.setattr(P, "WORTH", worth)
+        assert decode(data, "png")["data"] == v.astype(np.uint8).tobytes()
+
+
 def test_png_keys():
     v = px(3, 3, 3, 65536)
     v[1, 1] = (300, 44, 45)
