@@ -3,10 +3,13 @@
 The statistics of a text (shares of symbols, capitals, repeated lines and windows, lengths, ...) are
 points; random trees split random statistics at random values, and a document that few splits suffice
 to set apart, on average over the trees, is anomalous. The forest is grown on labelled clean rows. A
-split is drawn from the node's part of the box of all labelled rows, not from the range of the rows in
-the node, as statistics such as shares of symbols are constant in clean rows, and a tree that can't
-split them doesn't see junk (measured: at 1 % of clean rows lost, 98 % of junk beyond the base rule is
-found, against 16 % for splits within the rows' own range). The path length below which a document
+split is drawn from the node's part of the box of all labelled rows, as statistics such as shares of
+symbols are nearly constant in clean rows, and a tree that can't split them may not see junk. Measured on
+rows that neither growing nor calibrating saw, at 0.7 to 0.9 % of clean rows lost: with few labels (sf0.1)
+all of the junk beyond the base rule is found, against 62 % for the box of clean rows; with 15,000 labels
+95 %, against 99.8 %.
+
+The path length below which a document
 fails is the one at which at most MOST_CLEAN of the labelled clean rows are lost and the most labelled
 bad rows found. Rows that fail the base rule take no part in either.
 
