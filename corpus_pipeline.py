@@ -14,7 +14,7 @@ from rasterloom.llm.exact_dedup import without_exact_copies
 from rasterloom.llm.mixing import mixed_documents
 from rasterloom.llm.pieces import encode_table
 from rasterloom.llm.shared import materialize
-from rasterloom.llm.simhash import without_near_copies
+from rasterloom.llm.similar import without_similar
 from rasterloom.llm.toxicity import without_toxic
 
 
@@ -27,7 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_near_copies(docs)
+    return without_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
