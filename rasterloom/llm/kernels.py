@@ -5,14 +5,16 @@ Arithmetic on uint64 wraps on purpose throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Texts are taken together up to so many bytes; a longer one stands alone.
-GROUP_BYTES = 1 << 21
+#: Texts are taken together up to so many bytes; a longer one stands alone. Steps hold about a hundred bytes for each.
+GROUP_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -55,10 +57,33 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the spans: equal for equal contents wherever they stand."""
-    inverse = powers(len(prefix))[1]
-    return mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+#: Keeps the first k bytes of a lane of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Spans beyond so many bytes are hashed by pieces of that length, and then over the pieces' hashes.
+_PIECE = 512
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of buf: equal for equal contents wherever they stand. Lanes of eight bytes are chained through
+    a bijection that spreads every bit, so no regular content cancels out, and spans of at most eight bytes and one length
+    never share a hash."""
+    size = (end - start).astype(np.int64)
+    acc = mixed(size.astype(U) * U(0xD6E8FEB86659FD93) + U(1))
+    lane = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    at, on = start.astype(np.int64), np.flatnonzero((size > 0) & (size <= _PIECE))
+    while len(on):
+        here = at[on]
+        acc[on] = mixed(acc[on] ^ (lane[here] & _FIRST[np.minimum(end[on] - here, 8)]))
+        at[on] += 8
+        on = on[at[on] < end[on]]
+    long = np.flatnonzero(size > _PIECE)
+    if len(long):
+        pieces = -(-size[long] // _PIECE)
+        last = np.cumsum(pieces)
+        begin = np.repeat(start[long], pieces) + _PIECE * (np.arange(last[-1]) - np.repeat(last - pieces, pieces))
+        parts = span_hash(buf, begin, np.minimum(begin + _PIECE, np.repeat(end[long], pieces)))
+        acc[long] = mixed(acc[long] ^ span_hash(parts.view(np.uint8), 8 * (last - pieces), 8 * last))
+    return acc
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,16 +94,19 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Texts:
     """Some documents in one buffer, each followed by a newline.
 
-    first: the index of the first one in its batch; start, end: where their bytes stand in buf.
+    first: the index of the first one in its batch; n: their number; start, end: where their bytes stand in buf.
     """
 
-    def __init__(self, texts: list[bytes], first: int):
-        self.first, self.texts = first, texts
-        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    def __init__(self, texts: list[bytes | memoryview], first: int):
+        self.first, self.n = first, len(texts)
+        self.buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.end = np.cumsum(size + 1) - 1
         self.start = self.end - size
 
+    def __len__(self) -> int:
+        return self.n
+
     def words(self, inside: np.ndarray, buf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs of bytes in the class `inside`, and for each document
         (and the end) how many come earlier. Newlines must be outside."""
@@ -91,23 +119,54 @@ class Texts:
         return start, end, np.append(np.searchsorted(start, self.start), len(start))
 
 
-def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """The texts as UTF-8; null counts as empty."""
-    return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+def byte_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end) of the texts of a column, read in place; null counts as empty."""
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    if offsets is None or not len(column):
+        none = np.zeros(len(column), np.int64)
+        return np.zeros(0, np.uint8), none, none
+    edge = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    start, end = edge[:-1], edge[1:]
+    if column.null_count:
+        end = np.where(column.is_valid().to_numpy(zero_copy_only=False), end, start)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), start, end
+
+
+def as_bytes(column: pa.Array) -> list[memoryview]:
+    """The texts as UTF-8, read in place; null counts as empty."""
+    data, start, end = byte_spans(column)
+    view = memoryview(data)
+    return [view[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def grouped(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[Texts]:
     """The texts of a column in groups of bounded size, in order."""
-    group: list[bytes] = []
-    size = first = 0
-    for k, text in enumerate(as_bytes(column)):
-        if group and size + len(text) > most:
-            yield Texts(group, first)
-            group, size, first = [], 0, k
-        group.append(text)
-        size += len(text) + 1
-    if group:
-        yield Texts(group, first)
+    data, start, end = byte_spans(column)
+    view, k = memoryview(data), 0
+    ends = np.cumsum(end - start + 1)
+    while k < len(ends):
+        after = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, "right")))
+        yield Texts([view[i:j] for i, j in zip(start[k:after].tolist(), end[k:after].tolist(), strict=True)], k)
+        k = after
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow; when it ends, its worker returns freed memory to the system, as idle workers keep theirs."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_VALUE, SPACE, Texts, U, grouped, mixed, prefix_hash, span_hash, sums
+from .kernels import SPACE, Texts, U, giving_back, grouped, pair_hash, span_hash, sums
 from .toxicity import labelled_sample
 
 MAX_LABELLED = 16_000
@@ -58,8 +58,7 @@ def rule_counts(group: Texts) -> tuple[dict[str, np.ndarray], np.ndarray]:
     start, end, bounds = group.words(~SPACE)
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    prefix = prefix_hash(BYTE_VALUE[buf])
-    h = span_hash(prefix, start, end)
+    h = span_hash(buf, start, end)
     edges = np.append(group.start, len(buf))
 
     def total(mask: np.ndarray) -> np.ndarray:
@@ -76,15 +75,16 @@ def rule_counts(group: Texts) -> tuple[dict[str, np.ndarray], np.ndarray]:
     worded = (at < len(start)) & (np.append(start, len(buf))[at] < newline)
     begin, newline = begin[worded], newline[worded]
     line_doc = np.searchsorted(group.start, begin, "right") - 1
-    earlier, _ = _repeats(span_hash(prefix, begin, newline), line_doc)
+    earlier, _ = _repeats(span_hash(buf, begin, newline), line_doc)
     dup_lines = np.bincount(line_doc[earlier], minlength=len(n))
     dup_line_bytes = np.bincount(line_doc[earlier], (newline - begin)[earlier], minlength=len(n))
 
-    # Windows: a sum of word hashes with the powers of another base, as of a text of words.
-    words = prefix_hash(mixed(h + U(1)))
     windows = np.maximum(n - WINDOW + 1, 0)
     first = np.repeat(bounds[:-1] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-    _, twice = _repeats(span_hash(words, first, first + WINDOW), doc[first])
+    window = np.zeros(len(first), U)
+    for k in range(WINDOW):
+        window = pair_hash(window, h[first + k])
+    _, twice = _repeats(window, doc[first])
     cover = np.zeros(len(start) + 1, np.int64)
     np.add.at(cover, first[twice], 1)
     np.add.at(cover, first[twice] + WINDOW, -1)
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g in grouped(b.column(1)):
-                k = slice(g.first, g.first + len(g.texts))
+                k = slice(g.first, g.first + g.n)
                 counts, points = rule_counts(g)
                 failed = base_failed(counts)
                 yield pa.RecordBatch.from_arrays([b.column(0)[k], b.column(2)[k].cast(pa.int32()), pa.array([x.tobytes() for x in points], pa.binary())], ["doc_id", "label", "point"]).filter(pa.array(~failed))
@@ -217,7 +217,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
                 counts, points = rule_counts(g)
                 failed = base_failed(counts)
                 length = forest.path_length(points)
-                arrays = [b.column(0)[g.first : g.first + len(g.texts)], *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)]
+                arrays = [b.column(0)[g.first : g.first + g.n], *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(failed), pa.array(~failed & (length >= threshold)), pa.array(length)], ["doc_id", *COUNTS, "base_failed", "kept", "path_length"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, BYTE_VALUE, LOWER, Texts, U, grouped, pair_hash, prefix_hash, span_hash, sums
+from .kernels import ALNUM, LOWER, Texts, U, giving_back, grouped, pair_hash, span_hash, sums
 
 DIM_BITS = 20
 MAX_TRAIN = 16_000
@@ -33,7 +33,7 @@ def features(group: Texts, dim_bits: int = DIM_BITS, used: np.ndarray | None = N
     """
     buf = LOWER[group.buf]
     start, end, bounds = group.words(ALNUM, buf)
-    h = span_hash(prefix_hash(BYTE_VALUE[buf]), start, end)
+    h = span_hash(buf, start, end)
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
     parts, owners = [h], [doc]
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs:
         for b in batches:
             for g in grouped(b.column(1)):
                 index, bounds = features(g, dim_bits)
-                k = slice(g.first, g.first + len(g.texts))
+                k = slice(g.first, g.first + g.n)
                 lists = [index[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[k], b.column(2)[k].cast(pa.int32()), pa.array(lists, pa.binary())], ["doc_id", "label", "index"])
 

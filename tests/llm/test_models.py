@@ -100,64 +100,86 @@ def test_toxicity_on_the_tables(spark):
 # Language model
 
 
-def reference_scores(rows):
+def reference_scores(rows, order=2):
+    """The model in dictionaries of tuples of words: scores by doc_id, the probability, and the counts of words."""
     toks = {i: [*[w.lower() for w in words(t)], "END"] for i, t in rows}
     train = [i for i, _ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     one = Counter(w for i in train for w in toks[i])
     total, types = sum(one.values()), len(one)
-    two = Counter(p for i in train for p in zip(["BEGIN", *toks[i][:-1]], toks[i], strict=True))
-    context, before, follow = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (h, w), c in two.items():
-        context[h] += c
-        before[w] += 1
-        follow[h][min(c, 3) - 1] += 1
-
-    def discount(counts):
-        n = Counter(counts.values())
-        return L.discounts([0, *(n[k] for k in (1, 2, 3, 4))])
-
-    d2, d1 = discount(two), discount(before)
-    more = Counter(min(c, 3) for c in before.values())
-    left = sum(d1[k - 1] * more[k] for k in (1, 2, 3)) / len(two)
-    lower = lambda w: (max(before[w] - d1[min(before[w], 3) - 1], 0) / len(two) if before[w] else 0) + left / (types + 1)
+
+    def history(t, k):
+        return tuple(["BEGIN"] * (order - 1) + t)[k : k + order - 1]
+
+    counts = {order: Counter((*history(toks[i], k), w) for i in train for k, w in enumerate(toks[i]))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    follow, d = defaultdict(lambda: [0, 0, 0, 0]), {}
+    for n, grams in counts.items():
+        of = Counter(grams.values())
+        d[n] = L.discounts([0, *(of[k] for k in (1, 2, 3, 4))])
+        for g, c in grams.items():
+            if n > 1:
+                follow[g[:-1]][0] += c
+                follow[g[:-1]][min(c, 3)] += 1
+    more = Counter(min(c, 3) for c in counts[1].values())
+    pairs = len(counts[2])
+    left = sum(d[1][k - 1] * more[k] for k in (1, 2, 3)) / pairs if pairs else 1
 
     def p(h, w):
-        if not context[h]:
-            return lower(w)
-        c = two[h, w]
-        return (max(c - d2[min(c, 3) - 1], 0) / context[h] if c else 0) + float(np.dot(follow[h], d2)) / context[h] * lower(w)
+        n = len(h) + 1
+        c = counts[n][(*h, w)]
+        own = max(c - d[n][min(c, 3) - 1], 0) if c else 0
+        if n == 1:
+            return own / max(pairs, 1) + left / (types + 1)
+        if h not in follow:
+            return p(h[1:], w)
+        return own / follow[h][0] + float(np.dot(follow[h][1:], d[n])) / follow[h][0] * p(h[1:], w)
 
     out = {}
     for i, _ in rows:
-        score = sum(math.log10(p(h, w)) for h, w in zip(["BEGIN", *toks[i][:-1]], toks[i], strict=True))
+        score = sum(math.log10(p(history(toks[i], k), w)) for k, w in enumerate(toks[i]))
         base = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (types + 1))) for w in toks[i])
         out[i] = (len(toks[i]), sum(one[w] > 0 for w in toks[i]), total, base, score)
     return out, p, one
 
 
-@pytest.mark.parametrize("flush", [200, 1_250_000])
-def test_language_model(spark, monkeypatch, flush):
+@pytest.mark.parametrize(("order", "flush"), [(2, 200), (2, 1_250_000), (3, 150), (4, 1_250_000)])
+def test_language_model(spark, monkeypatch, order, flush):
     monkeypatch.setattr(L, "FLUSH_TOKENS", flush)
     rows = [(k, prose(int(RNG.integers(0, 120)))) for k in range(150)] + [(k + 1000, t) for k, t in enumerate(ODD)]
-    want, p, one = reference_scores(rows)
-    got = {r.doc_id: r for r in L.lm_scores(documents(spark, rows).repartition(4), shard_bytes=3000).collect()}
+    want, p, one = reference_scores(rows, order)
+    got = {r.doc_id: r for r in L.lm_scores(documents(spark, rows).repartition(4), order, shard_bytes=3000).collect()}
     for i, (n, known, total, base, score) in want.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
     for h in ("BEGIN", next(iter(one))):
+        h = ("BEGIN",) * (order - 2) + (h,)
         assert sum(p(h, w) for w in one) + p(h, "unheard") == pytest.approx(1, rel=1e-9)
 
 
-def test_many_shards_of_a_partition_and_few_open_files(spark, monkeypatch):
-    monkeypatch.setattr(L, "MOST_PARTS", 3)
-    monkeypatch.setattr(L, "OPEN", 2)
+@pytest.mark.parametrize("order", [2, 3])
+def test_many_shards_in_few_files(spark, monkeypatch, order):
+    monkeypatch.setattr(L, "FILE_BITS", 1)
+    monkeypatch.setattr(L, "MOST_HOT", 8)
     rows = [(k, prose(30)) for k in range(60)]
-    want, _, _ = reference_scores(rows)
-    for r in L.lm_scores(documents(spark, rows), shard_bytes=40).collect():
+    want, _, _ = reference_scores(rows, order)
+    for r in L.lm_scores(documents(spark, rows), order, shard_bytes=40).collect():
         assert r.score == pytest.approx(want[r.doc_id][4], rel=1e-9)
 
 
+def test_regular_words_are_told_apart(spark):
+    """Words whose letters cancel in sums of powers (Thue-Morse), of 1024 bytes and more."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(0, a), (2, f"{a} x"), (7, b)]
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5 == 1][0]
+    rows = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1 and t != b] + [(held, b)]
+    got = {r.doc_id: r.n_known for r in L.lm_scores(documents(spark, rows)).collect()}
+    assert got[held] == 1  # the end alone
+
+
 def test_language_model_counts_beyond_a_byte(spark):
     rows = [(k, "the cat " * 40) for k in range(60)]
     want, _, _ = reference_scores(rows)
