@@ -1,30 +1,33 @@
 """Near copies by an exact similarity join: texts whose sets of 5-word shingles have Jaccard similarity 0.8 or more.
 
-Fingerprints of 64 bits can't give these pairs: at this similarity they lie about ten bits apart, where a trie's
-subtrees no longer get small. Candidates come from prefixes instead. All shingles have one order, frequent ones last; a
-set's prefix is its first n - ceil(0.8 n) + 1 shingles, and two sets as similar as asked share one of their prefixes'
-shingles. So no pair is missed, and each candidate is then compared in full.
+The nearest copies come from the trie join of fingerprints. Those of 64 bits can't give all: at this similarity they lie
+about ten bits apart, where a trie's subtrees no longer get small. The other candidates come from prefixes. All shingles
+have one order, frequent ones last; a set's prefix is its first n - ceil(0.8 n) + 1 shingles, and two sets as similar as
+asked share one of their prefixes' shingles. So no pair is missed, and each candidate is then compared in full.
 
-Scale: a fifth of the shingles' hashes is shuffled once, by hash; what only one text has goes at once. The order comes
+Scale: a fifth of the shingles' hashes is shuffled, by hash; what only one text has goes at once. The order comes
 from a sample of the texts and only decides how many candidates there are, never which pairs are found. Where groups
 of texts with a common shingle would give too many pairs, each text is first compared with one leader of its group, in
-rounds, and only pairs whose texts no link joins yet are left. In the worst case, groups that share rare shingles and
+rounds, and only pairs whose texts no link joins yet are left. The sets of texts that are compared are stored once, and
+read from where they stand: pairs are shuffled, sets aren't. In the worst case, groups that share rare shingles and
 yet aren't similar, the pairs left grow with the square of the group.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, SPACE, Texts, U, grouped, mixed, pair_hash, ragged, xxh64
+from .kernels import LOWER, SPACE, Texts, U, giving_back, grouped, mixed, pair_hash, ragged, xxh64
 from .row_keys import KEY, keyed
-from .shared import materialize
-from .simhash import components
+from .shared import file_system, materialize, shared_path
+from .simhash import components, fingerprint_table, near_links
 
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
@@ -33,6 +36,8 @@ NUM, DEN = 4, 5
 SAMPLE, SEEN, MOST_FREQUENT = 8, 4, 500_000
 #: Pairs for each text that are compared without looking for leaders first; rounds of leaders.
 PAIRS, ROUNDS = 50, 4
+#: Files that a worker holds open, and sets that it keeps.
+OPEN, READ = 256, 64
 
 
 def shingle_sets(group: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -108,48 +113,87 @@ def _shared(rows: DataFrame) -> DataFrame:
                 n = np.diff(bounds)[owner].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[g.first + owner]), pa.array(n)], ["h", "key", "n"])
 
-    entries = materialize(rows.select(KEY, "text").mapInArrow(run, "h long, key long, n int"), "prefixes")
+    # Made twice from the texts: a table of all of them would take more room than the making takes time.
+    entries = rows.select(KEY, "text").mapInArrow(giving_back(run), "h long, key long, n int")
     often = entries.groupBy("h").count().where(F.col("count") > 1).select("h")
     return materialize(entries.join(often, "h"), "shared")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of keys whose texts are similar."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g in grouped(b.column(1)):
-                h, bounds = shingle_sets(g)
-                lists = [h[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[g.first : g.first + len(lists)], pa.array(lists, pa.binary())], ["key", "members"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = ([np.frombuffer(x.as_buffer(), U) for x in b.column(k)] for k in (2, 3))
-            keep = pa.array([similar(x, y) for x, y in zip(a, c, strict=True)], pa.bool_())
-            yield b.select([0, 1]).filter(keep)
-
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    wanted = rows.select(F.col(KEY).alias("key"), "text").join(nodes, "key", "left_semi")
-    known = materialize(wanted.mapInArrow(sets, "key long, members binary"), "sets")
-    both = pairs.join(known.select(F.col("key").alias("v"), F.col("members").alias("b")), "v")
-    both = both.join(known.select(F.col("key").alias("u"), F.col("members").alias("a")), "u").select("u", "v", "a", "b")
-    return both.mapInArrow(compare, "u long, v long")
+class _Sets:
+    """Texts' sets of shingles in files of the shared folder, and where each one stands: (key, file, at, size)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.folder, self.places = rows, shared_path(rows.sparkSession, "sets"), None
+
+    def add(self, nodes: DataFrame) -> None:
+        """Stores the sets of (key) that aren't stored yet."""
+        folder = self.folder
+        nodes = nodes if self.places is None else nodes.join(self.places, "key", "left_anti")
+        nodes = materialize(nodes, "nodes")  # its size, as written, tells Spark whether it can be broadcast
+        wanted = self.rows.select(F.col(KEY).alias("key"), "text").join(nodes, "key", "left_semi")
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, base = file_system(folder)
+            fs.create_dir(base, recursive=True)
+            name, at = uuid.uuid4().hex, 0  # in no other attempt's way
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                for b in batches:
+                    for g in grouped(b.column(1)):
+                        h, bounds = shingle_sets(g)
+                        out.write(h.astype("<u8").tobytes())
+                        arrays = [b.column(0)[g.first : g.first + g.n], pa.array([name] * g.n, pa.string()), pa.array(bounds[:-1] + at), pa.array(np.diff(bounds))]
+                        yield pa.RecordBatch.from_arrays(arrays, ["key", "file", "at", "size"])
+                        at += len(h)
+
+        places = materialize(wanted.mapInArrow(giving_back(store), "key long, file string, at long, size long"), "places")
+        self.places = places if self.places is None else self.places.unionByName(places)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) of stored keys whose texts are similar."""
+        folder = self.folder
+        for side in ("v", "u"):
+            pairs = pairs.join(self.places.select(F.col("key").alias(side), F.struct("file", "at", "size").alias(f"_{side}")), side)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, base = file_system(folder)
+            open_file = lru_cache(OPEN)(lambda name: fs.open_input_file(f"{base}/{name}"))
+            read = lru_cache(READ)(lambda name, at, size: np.frombuffer(open_file(name).read_at(8 * size, 8 * at), U))
+            for b in batches:
+                a, c = ([tuple(x.values()) for x in b.column(k).to_pylist()] for k in (2, 3))
+                keep = [similar(read(*x), read(*y)) for x, y in zip(a, c, strict=True)]
+                yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.select("u", "v", "_u", "_v").sortWithinPartitions("u").mapInArrow(giving_back(compare), "u long, v long")
+
+
+def _fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of keys whose fingerprints over words of SHINGLE are equal or linked by the trie's join: a forest."""
+    fp = materialize(fingerprint_table(rows, KEY, "text", SHINGLE).withColumnRenamed("doc_id", "key"), "fingerprints")
+    fps = materialize(fp.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    links = near_links(fps.select("fp"))
+    for side in ("u", "v"):
+        links = links.join(fps.select(F.col("fp").alias(side), F.col("least").alias(f"_{side}")), side)
+    links = links.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+    equal = fp.join(fps, "fp").where("key > least").select(F.col("least").alias("u"), F.col("key").alias("v"))
+    return materialize(links.unionByName(equal).distinct(), "pairs")
 
 
 def similar_links(rows: DataFrame, pairs_a_text: int = PAIRS, rounds: int = ROUNDS) -> DataFrame:
     """Links (u, v) of the keys of rows (KEY, text): their components are those of all pairs that are similar."""
-    shared, most = _shared(rows), pairs_a_text * rows.count()
-    links, tried = None, None
-    for k in range(rounds + 1):
-        if links is None:
-            now = shared.withColumn("part", F.col("key"))
-        else:
-            joined = components(links).withColumnRenamed("node", "key")
-            now = shared.join(joined, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
-            open_groups = now.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("h")
-            now = materialize(now.join(open_groups, "h"), "open")
-        sizes = now.groupBy("h", "part").count().groupBy("h").agg(F.sum("count").cast("double").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
+    shared, most, sets = _shared(rows), pairs_a_text * rows.count(), _Sets(rows)
+    pairs = tried = _fingerprint_pairs(rows)
+    links = None
+    for k in range(rounds + 2):
+        sets.add(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+        found = materialize(sets.verified(pairs), "similar")
+        links = found if links is None else links.unionByName(found)
+        if k and last:
+            return links
+        joined = components(links).withColumnRenamed("node", "key")
+        now = shared.join(joined, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+        open_groups = now.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("h")
+        now = materialize(now.join(open_groups, "h"), "open")
+        sizes = now.groupBy("h", "part").count().groupBy("h").agg(F.sum(F.col("count").cast("double")).alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
         last = k == rounds or (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0) <= most
         a = now.select("h", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
         if not last:
@@ -158,14 +202,9 @@ def similar_links(rows: DataFrame, pairs_a_text: int = PAIRS, rounds: int = ROUN
         both = now.join(a, "h").where(F.col("part") != F.col("px"))
         both = both.where((DEN * F.least("n", "nx") >= NUM * F.greatest("n", "nx")))
         pairs = both.select(F.least("key", "x").alias("u"), F.greatest("key", "x").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(_verified(pairs, rows), "similar")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            return links
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+    raise AssertionError("the last round returns")
 
 
 def without_similar(docs: DataFrame) -> DataFrame:
