@@ -3,24 +3,25 @@
 A document's identity is an integer name that equals another's exactly if the texts are equal:
 
 1. Texts are normalised (A-Z to a-z only; null counts as empty) and split into fixed-size blocks.
-2. Distinct blocks at the same place are sorted, and a block's name is its place in that order.
-3. Adjacent names are paired, distinct pairs sorted and named, until each document has one name.
+2. The distinct blocks of all documents are sorted, and numbered in that order: a block's name.
+3. Adjacent names are paired, distinct pairs sorted and numbered, until each document has one name.
 
-Names compare contents, so no two different texts ever share an identity. Only documents whose
-SHA-256 occurs twice or more can have an equal, so only their blocks are named, each within its
-digest's scope; a digest occurring once already proves a text to be unique.
+Every document is named, and names alone decide: they number distinct contents, which Spark compares in full. To bring
+a block's name to its documents without shuffling texts again, blocks are looked up by a handle (128 bits of hash). If
+two distinct blocks ever share a handle, which is seen in the table of names, they are looked up by their text instead.
 
-Scale: the whole texts are shuffled once, by document (no skew); blocks of copies collapse before
-they are shuffled (partial aggregation), and names are written tables before rows are joined with
-them, so adaptive execution splits a hot group's rows over tasks. Rounds: log2 of the longest
-duplicate's number of blocks.
+Scale: the texts are shuffled once, to find the distinct blocks, after those of each task have collapsed (partial
+aggregation); numbers come from the places in sorted partitions, without a window. Names are written tables before rows
+are joined with them, so adaptive execution splits a hot group's rows over tasks. Rounds: log2 of the longest text's
+number of blocks.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .row_keys import KEY, keyed
@@ -36,53 +37,56 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def _sorted_names(rows: DataFrame, keys: list[str], what: list[str]) -> DataFrame:
-    """A column name: the place of each distinct `what` in the order of those with the same keys. A written table: the
-    rows of a hot group can then be split over tasks when they are joined with it."""
-    place = Window.partitionBy(*keys).orderBy(*what)
-    return materialize(rows.select(*keys, *what).distinct().withColumn("name", F.row_number().over(place)), "names")
+def _handle(block: Column) -> Column:
+    """What a block is looked up by."""
+    return F.struct(F.xxhash64(block).alias("a"), F.xxhash64(F.lit(1), block).alias("b"))
 
 
-def block_names(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Names the texts of (doc_id, scope, text): (doc_id, scope, n_blocks, name). Within a scope, equal
-    (n_blocks, name) means equal texts. Rows repeated in full give one row."""
+def _numbered(rows: DataFrame, what: list[str], keep: list[Column]) -> DataFrame:
+    """The columns keep of the distinct `what`, sorted, and their numbers as name. A written table: numbers stay as they
+    are, and the rows of a hot group can be split over tasks when they are joined with it."""
+    return materialize(rows.select(*what).distinct().sortWithinPartitions(*what).select(*keep, F.monotonically_increasing_id().alias("name")), "names")
+
+
+def block_names(docs: DataFrame, block_chars: int = BLOCK_CHARS, handle: Callable[[Column], Column] = _handle) -> tuple[DataFrame, DataFrame]:
+    """For docs (doc_id, text): the rows (row, doc_id, text_sha256, keys), a row each, and their names (row, n_blocks,
+    name). Equal (n_blocks, name) means equal texts. handle: of blocks; any function of their text gives right names."""
     cut = F.when(F.length("text") == 0, F.array(F.lit(""))).otherwise(
         F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     )
-    blocks = (
-        texts.withColumn("cut", cut)
-        .withColumn("n_blocks", F.size("cut"))
-        .select("doc_id", "scope", "n_blocks", F.posexplode("cut").alias("at", "block"))
-    )
-    blocks = materialize(blocks, "blocks")  # read twice: once for the names, once to be named
-    keys = ["scope", "n_blocks", "at"]
-    named = blocks.join(_sorted_names(blocks, keys, ["block"]), [*keys, "block"])
-    named = materialize(named.select("doc_id", *keys, "name").distinct(), "block-names")
+    # Most texts are one block, which needs no cutting.
+    cut = docs.select("doc_id", "text", F.when(F.octet_length("text") <= block_chars, F.array("text")).otherwise(cut).alias("cut"))
+
+    def rows_by(key: Callable[[Column], Column]) -> DataFrame:
+        return materialize(
+            cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform("cut", key).alias("keys")), "rows"
+        )
+
+    blocks = cut.select(F.explode("cut").alias("block"))
+    names = _numbered(blocks, ["block"], [handle(F.col("block")).alias("key")])
+    if names.groupBy("key").count().where("count > 1").isEmpty():
+        rows = rows_by(handle)
+    else:
+        rows, names = rows_by(lambda block: block), _numbered(blocks, ["block"], [F.col("block").alias("key")])
+    places = rows.select("row", F.size("keys").alias("n_blocks"), F.posexplode("keys").alias("at", "key"))
+    named = materialize(places.join(names, "key").select("row", "n_blocks", "at", "name"), "block-names")
     done = named.where("n_blocks = 1").drop("at")
-    longest = named.agg(F.max("n_blocks")).first()[0] or 1
-    named, left = named.where("n_blocks > 1"), longest
+    left = named.agg(F.max("n_blocks")).first()[0] or 1
+    named = named.where("n_blocks > 1")
     while left > 1:
+        half = F.col("at") % 2
         pairs = (
-            named.withColumn("half", F.col("at") % 2)
-            .withColumn("at", (F.col("at") / 2).cast("int"))
-            .groupBy("doc_id", *keys)
-            .agg(
-                F.max(F.when(F.col("half") == 0, F.col("name"))).alias("first"),
-                F.coalesce(F.max(F.when(F.col("half") == 1, F.col("name"))), F.lit(0)).alias("second"),
-            )
+            named.groupBy("row", "n_blocks", (F.col("at") / 2).cast("int").alias("at"))
+            .agg(F.max(F.when(half == 0, F.col("name"))).alias("first"), F.coalesce(F.max(F.when(half == 1, F.col("name"))), F.lit(-1)).alias("second"))
         )
         pairs = materialize(pairs, "block-pairs")
-        named = materialize(
-            pairs.join(_sorted_names(pairs, keys, ["first", "second"]), [*keys, "first", "second"]).select(
-                "doc_id", *keys, "name"
-            ),
-            "pair-names",
-        )
+        both = ["first", "second"]
+        named = materialize(pairs.join(_numbered(pairs, both, [F.col(x) for x in both]), both).select("row", "n_blocks", "at", "name"), "pair-names")
         left = (left + 1) // 2
-    return done.unionByName(named.drop("at"))
+    return rows, done.unionByName(named.drop("at"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, handle: Callable[[Column], Column] = _handle) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and empty
@@ -91,36 +95,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only in a group without any other. Columns of docs besides the two are not read. An empty table
     gives an empty result.
     """
-    texts = docs.select(
-        F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")
-    ).withColumn("scope", F.sha2("text", 256))
-    rows = materialize(texts.select("doc_id", "scope"), "digests")
-    several = materialize(rows.groupBy("scope").count().where("count > 1").select("scope"), "repeated-digests")
-    # Distinct first: after the join it would bind a hot digest's rows to the partition of their digest.
-    ids = rows.distinct().join(several, "scope").withColumnsRenamed({"doc_id": "id", "scope": "digest"})
-    members = texts.join(
-        ids, texts["doc_id"].eqNullSafe(ids["id"]) & (texts["scope"] == ids["digest"]), "left_semi"
-    )
-    names = materialize(block_names(members, block_chars), "identities").withColumnsRenamed(
-        {"doc_id": "id", "scope": "digest"}
-    )
-    rows = rows.join(names, rows["doc_id"].eqNullSafe(names["id"]) & (rows["scope"] == names["digest"]), "left").select(
-        "doc_id",
-        "scope",
-        F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
-        F.coalesce("name", F.lit(0)).alias("name"),
-    )
-    key = ["scope", "n_blocks", "name"]
-    groups = materialize(
-        rows.where("n_blocks > 0").groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups"
-    )
-    return rows.join(groups, key, "left").select(
-        "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
-        F.col("scope").alias("text_sha256"),
-    )
+    texts = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    rows, names = block_names(texts, block_chars, handle)
+    named = materialize(rows.drop("keys").join(names, "row").drop("row"), "identities")
+    key = ["n_blocks", "name"]
+    groups = materialize(named.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    return named.join(groups, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def without_exact_copies(docs: DataFrame) -> DataFrame:

@@ -23,8 +23,10 @@ import pyarrow as pa
 # Exact copies
 
 
-def test_exact_dedup_odd_rows(spark):
-    rows = E.exact_dedup(odd_documents(spark), block_chars=7).collect()
+@pytest.mark.parametrize("handle", [E._handle, lambda block: E.F.length(block)])
+def test_exact_dedup_odd_rows(spark, handle):
+    """Also with a handle that distinct blocks share: names alone decide."""
+    rows = E.exact_dedup(odd_documents(spark), block_chars=7, handle=handle).collect()
     docs = odd_documents(spark).collect()
     assert len(rows) == len(docs)
     groups = {}
@@ -37,11 +39,13 @@ def test_exact_dedup_odd_rows(spark):
     assert Counter(r.doc_id for r in rows) == Counter(d.doc_id for d in docs)
 
 
-def test_names_tell_blocks_apart(spark):
-    """Within one scope, as if their digests were equal: names must follow the contents alone."""
+@pytest.mark.parametrize("handle", [E._handle, lambda block: E.F.lit(0)])
+def test_names_tell_texts_apart(spark, handle):
     texts = ["aaaabbbbcc", "aaaabbbbcd", "aaaabbbbcc", "bbbbaaaacc", "aaaa", "aaaabbbb", "", "aaaabbbbccccdddde", "aaaabbbbccccdddde", "aaaabbbbccccddddf", "日本語テ日本語"]
-    rows = spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, scope string, text string")
-    names = {r.doc_id: (r.n_blocks, r.name) for r in E.block_names(rows, 4).collect()}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows, names = E.block_names(docs, 4, handle)
+    names = {r.doc_id: (r.n_blocks, r.name) for r in rows.join(names, "row").collect()}
+    assert len(names) == len(texts)
     for i, x in enumerate(texts):
         for j, y in enumerate(texts):
             assert (names[i] == names[j]) == (x == y), (x, y)
