@@ -7,9 +7,11 @@ sum crosses. In the order, documents of like size stand together, so the words t
 target as well as the copies do.
 
 Scale: the running sum isn't one window over a source. The order is (size class, block, size,
-doc_id), with about sqrt(rows) blocks dealt by document; places are counted within a cell, cells
-within a class, and classes within a source, so no window holds more than about sqrt(rows) rows,
-also where one source, or one size, has a third of all.
+doc_id), with about sqrt(rows) blocks dealt by a hash of doc_id and text; places are counted within a cell,
+cells within a class, and classes within a source, so no window holds more than about sqrt(rows) rows,
+also where one source, one size or rows without a doc_id have a third of all. (Rows that are equal in source,
+doc_id and text share a cell.) Sources are numbered by sorted partitions, and the level of their targets is
+found by sums over them, so they may be many too.
 """
 
 from __future__ import annotations
@@ -28,9 +30,7 @@ MOST = 3  # copies of a document, and a source's target in its own sizes
 
 def _cells(sizes: DataFrame, blocks: int) -> DataFrame:
     bits = F.length(F.bin("size"))
-    return sizes.withColumn("class", bits * 4 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 3, 0)) & 3 as int)")).withColumn(
-        "block", F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2147483647)) * 2654435761 % 4294967296, F.lit(blocks))
-    )
+    return sizes.withColumn("class", bits * 4 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 3, 0)) & 3 as int)")).withColumn("block", F.col("dealt") % blocks)
 
 
 def _before(total: Column, keys: list[str], order: str) -> Column:
@@ -39,23 +39,32 @@ def _before(total: Column, keys: list[str], order: str) -> Column:
     return F.coalesce(F.sum(total).over(w), F.lit(0))
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Adds number (from 0) by code point of source, null last: the place in its sorted partition, and what stands in those
+    before; the only window has a row a partition."""
+    order, n = F.col("source").asc_nulls_last(), int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(sources.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "sources")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first")).select("_part", "_first", before.alias("_before"))
+    return rows.join(parts, "_part").withColumn("number", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_first", "_before")
+
+
 def source_targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     """Adds weight and target to (source, source_size). By code point, null last, sources weigh 1, 2, 3, 1, ...; the
     targets share all sizes by weight, none above `most` times its source's size."""
-    everything = Window.partitionBy()
-    ranked = (
-        sources.withColumn("weight", (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
-        .withColumn("cap", most * F.col("source_size"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-    )
-    earlier = everything.orderBy("ratio", "weight", "cap").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(earlier), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0))
-    )
-    ranked = ranked.withColumn("level", level)
-    # Sources in order of cap over weight: the first whose cap holds the level sets it for all.
-    chosen = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"]
-    return ranked.withColumn("target", F.least(F.col("cap").cast("double"), chosen * F.col("weight"))).select(
+    ranked = _numbered(sources).withColumn("weight", F.col("number") % 3 + 1).withColumn("cap", most * F.col("source_size"))
+    ranked = materialize(ranked.withColumn("ratio", F.col("cap") / F.col("weight")).drop("number"), "ranked")
+    size, weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    capped, level = (0, 0), 0.0
+    while weight:
+        # What the capped sources leave, by weight of the others; this caps some more, until none is above.
+        level = (size - capped[0]) / (weight - capped[1])
+        now = ranked.where(F.col("ratio") < level).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if tuple(now) == capped:
+            break
+        capped = tuple(now)
+    return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))).select(
         "source", "source_size", "weight", "target"
     )
 
@@ -72,6 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(F.md5(F.concat_ws(" ", F.col(id_col).cast("string"), F.col(text_col))), 1, 8), 16, 10).cast("long").alias("dealt"),
     )
     sizes = materialize(sizes, "sizes")
     blocks = max(1, math.ceil(math.sqrt(sizes.count())))
@@ -93,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     cells = cells.join(classes, ["key", "class"]).join(targets, "key")
 
-    at = Window.partitionBy("key", "class", "block").orderBy("size", "doc_id")
+    at = Window.partitionBy("key", "class", "block").orderBy("size", "doc_id", "dealt")
     placed = keyed.withColumn("place", F.row_number().over(at)).join(cells, ["key", "class", "block"])
     place = F.col("before_class") + F.col("before_cell") + F.col("place")
     copies = F.floor(place * F.col("rate") + F.col("offset")) - F.floor((place - 1) * F.col("rate") + F.col("offset"))
@@ -116,12 +126,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws(' ', doc_id, text)), 1, 8))::UBIGINT AS dealt
+  FROM documents
 ), b AS (SELECT greatest(1, ceil(sqrt(count(*))))::BIGINT AS blocks FROM sizes
 ), placed AS (
   SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY
       length(bin(size)) * 4 + ((size >> greatest(length(bin(size)) - 3, 0)) & 3),
-      ((coalesce(doc_id, 0) % 2147483647) * 2654435761 % 4294967296) % blocks, size, doc_id) AS place
+      dealt % blocks, size, doc_id NULLS FIRST, dealt) AS place
   FROM sizes s, b
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source

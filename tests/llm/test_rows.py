@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -72,6 +73,21 @@ def test_mix_odd_rows(spark):
     assert M.mix(empty(spark)).count() == 0 and M.mixed_documents(empty(spark)).count() == 0
 
 
+def test_rows_without_ids_are_dealt_to_cells(spark):
+    docs = documents(spark, [(None, f"word {k}") for k in range(1000)])
+    table = M._cells(docs.select("source", M.F.lit(2).cast("long").alias("size"), M.F.conv(M.F.substring(M.F.md5("text"), 1, 8), 16, 10).cast("long").alias("dealt")), 32)
+    assert table.groupBy("block").count().agg(M.F.max("count")).first()[0] < 80
+    rows = M.mix(docs).collect()
+    assert len(rows) == 1000 and sum(r.taken for r in rows) == 2000
+
+
+def test_many_sources(spark):
+    sizes = {f"s{k}": (k * 7919) % 400 for k in range(3000)} | {None: 9}
+    want = targets(sizes)
+    got = M.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)).collect()
+    assert all(r.target == pytest.approx(want[r.source], abs=1e-6) for r in got) and len(got) == 3001
+
+
 # Tool calls
 
 SCHEMAS = {"add": {"x": ("integer", True), "y": ("number", True)}, "go": {"to": ("array", True), "z": ("object", False)}}
@@ -105,9 +121,45 @@ def test_long_chain_of_calls(spark):
     assert {r.call_id: r.level for r in C.link_tool_calls(calls, results, SCHEMAS).collect()} == {f"c{k}": k for k in range(6)}
 
 
+def levels_of(spark, refs):
+    rows = spark.createDataFrame([(c, k, r) for (c, k), r in refs.items()], "conv_id long, call_id string, refs array<string>")
+    return {(r.conv_id, r.call_id): r.level for r in C.levels(rows).collect()}
+
+
+def test_levels_against_brute_force(spark):
+    rng = random.Random(5)
+    refs = {(1, f"c{k}"): [f"c{k - 1}"] for k in range(500)}
+    refs |= {(2, f"d{k}"): sorted({f"d{rng.randrange(max(1, k))}" for _ in range(rng.randrange(3))}) for k in range(60)}
+    refs |= {(3, "a"): ["b"], (3, "b"): ["a"], (3, "c"): ["b"], (3, "d"): ["c", "e"], (3, "e"): ["gone"], (3, "f"): ["e", "e"], (3, "g"): ["g"], (3, "h"): ["f", "e", "gone"]}
+    refs[2, "d0"] = []
+    want = {}
+    for _ in range(510):
+        for (c, k), own in refs.items():
+            up = [(c, x) for x in own if (c, x) in refs]
+            if (c, k) not in want and all(x in want for x in up):
+                want[c, k] = max((want[x] + 1 for x in up), default=0)
+    assert levels_of(spark, refs) == want
+
+
+def test_what_is_a_reference(spark):
+    said = ['{"to":["$a"]}', '{"$a":1}', '{"to":"say \\"$a\\" now"}', '{"to":" $a"}', '{"z":{"k":{"l":"$a"}}}', '{"other":"$a"}']
+    calls = spark.createDataFrame([(1, 9, "a", "go", "{}"), *((1, k, f"c{k}", "go", x) for k, x in enumerate(said))], "conv_id long, turn int, call_id string, name string, arguments string")
+    results = calls.limit(0).selectExpr("conv_id", "turn", "call_id", "name as content")
+    got = lambda names: {r.call_id: r.level for r in C.link_tool_calls(calls, results, SCHEMAS, names).collect()}
+    assert got(None) == {"a": 0, "c0": 1, "c1": 0, "c2": 0, "c3": 0, "c4": 1, "c5": 1}
+    assert got(["to"]) == {"a": 0, "c0": 1, "c1": 0, "c2": 0, "c3": 0, "c4": 0, "c5": 0}
+
+
+def test_calls_with_clashing_columns(spark):
+    calls = spark.createDataFrame([(1, 0, "a", "go", '{"to":[]}', "x", 7, True)], "conv_id long, turn int, call_id string, name string, arguments string, refs string, level int, valid boolean")
+    results = spark.createDataFrame([(1, 1, "a", "r", "y", 3)], "conv_id long, turn int, call_id string, content string, answer string, n_results int")
+    (row,) = C.link_tool_calls(calls, results, SCHEMAS).collect()
+    assert (row.level, row.valid, row.n_results, row.linked) == (0, True, 1, True)
+
+
 def test_conversations_with_nulls(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (2, 1, "assistant", "x"), (3, 2, None, "y"), (None, 0, "user", "z"), (4, None, "user", "q")], "conv_id long, turn long, role string, text string")
-    got = C.link_tool_calls(*C.turns_as_calls(rows), C.TURN_SCHEMAS).collect()
+    got = C.link_tool_calls(*C.turns_as_calls(rows), C.TURN_SCHEMAS, ["after"]).collect()
     assert len([r for r in got if r.kind == "call"]) == 4 and len([r for r in got if r.kind == "orphan"]) == 1
     assert {r.conv_id: r.valid for r in got if r.kind == "call"} == {1: False, 3: False, None: True, 4: True}
 
