@@ -191,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 yield pa.RecordBatch.from_arrays([b.column(0)[k], b.column(2)[k].cast(pa.int32()), pa.array([x.tobytes() for x in points], pa.binary())], ["doc_id", "label", "point"]).filter(pa.array(~failed))
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, point binary").collect())
+    points = rows.select("doc_id", "text", "label").mapInArrow(giving_back(run), "doc_id long, label int, point binary")
+    got = sorted(points.groupBy("doc_id", "label").agg(F.min("point").alias("point")).collect())  # one text a doc_id
     points = np.array([np.frombuffer(r["point"]) for r in got]).reshape(len(got), STATISTICS)
     good = np.array([r["label"] for r in got], int).astype(bool)
     grow = good & (np.arange(len(got)) % 2 == 0)
@@ -221,7 +222,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(failed), pa.array(~failed & (length >= threshold)), pa.array(length)], ["doc_id", *COUNTS, "base_failed", "kept", "path_length"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in COUNTS) + "base_failed boolean, kept boolean, path_length double")
+    return rows.mapInArrow(giving_back(run), "doc_id long, " + "".join(f"{c} long, " for c in COUNTS) + "base_failed boolean, kept boolean, path_length double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is named (local tests)."""
+    """The folder in spark.checkpoint.dir. A temporary one is set only where none is named and Spark runs in one process
+    (tests); on a cluster a folder that all machines share must be named, else RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="rasterloom-")
     atexit.register(shutil.rmtree, made, True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")

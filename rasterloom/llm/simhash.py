@@ -8,8 +8,8 @@ d + 1 blocks of bits. So for each block the trie is built with that block's bits
 nothing may be spent: its subtrees below the block are dealt out by the block's value, d + 1 rows a
 fingerprint whatever the input, and walked on their own. A value that more than HOT fingerprints share
 is split by blocks of the remaining bits in the same way. A task walks all of its node pairs of a
-level at once, and emits a spanning forest of its links, at most one link a fingerprint, so dense
-groups of copies don't square. Components are then found by alternating large-star and small-star
+level at once, up to a bound, folds pairs into classes as they are found, and emits a spanning forest,
+at most one link a fingerprint and block, so dense groups of copies take no more memory or rows. Components are then found by alternating large-star and small-star
 steps, which are equi-joins with partial minima.
 """
 
@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, SPACE, U, Texts, grouped, sums, xxh64
-from .row_keys import KEY, keyed
+from .kernels import LOWER, SPACE, Texts, U, giving_back, grouped, sums, xxh64
 from .shared import materialize
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -66,11 +65,16 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
-def trie_pairs(a: np.ndarray, distance: int = DISTANCE, top: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j), i < j, of the sorted uint64 that differ in at most `distance` bits, and in none of the first `top`.
+#: Pairs of nodes that a frontier of the walk holds; pairs of fingerprints that its leaves give at once are up to LEAF times that.
+FRONTIER, LEAF = 1 << 16, 16
+
+
+def trie_pairs(a: np.ndarray, distance: int = DISTANCE, top: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes (i, j), i < j, of the sorted uint64 that differ in at most `distance` bits, and in none of the first `top`,
+    in arrays of bounded size. No pair comes twice.
 
     A node is a range of a; the walk starts from the pairs (node, node) of level `top`.
     """
@@ -78,19 +82,18 @@ def trie_pairs(a: np.ndarray, distance: int = DISTANCE, top: int = 0) -> tuple[n
     lo = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(a) else np.zeros(0, np.int64)
     hi = np.append(lo[1:], len(a)).astype(np.int64)
     lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     # A stack of frontiers (level, node ranges, bits spent), cut so that memory stays bounded.
-    stack = [(top, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
+    stack = [(top, *(x[k : k + FRONTIER] for x in (lo, hi, lo, hi, np.zeros(len(lo), np.int64)))) for k in range(0, len(lo), FRONTIER)]
     while stack:
         level, alo, ahi, blo, bhi, spent = stack.pop()
-        small = (ahi - alo) * (bhi - blo) <= 16 if level < 64 else np.ones(len(alo), bool)
+        small = (ahi - alo) * (bhi - blo) <= LEAF if level < 64 else np.ones(len(alo), bool)
         if small.any():
             lo, m, other, n = alo[small], (ahi - alo)[small], blo[small], (bhi - blo)[small]
             size = m * n
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             i, j = np.repeat(lo, size) + k // np.repeat(n, size), np.repeat(other, size) + k % np.repeat(n, size)
             near = (i < j) & (np.bitwise_count(a[i] ^ a[j]) <= distance)
-            found.append((i[near], j[near]))
+            yield i[near], j[near]
             if small.all():
                 continue
             alo, ahi, blo, bhi, spent = (x[~small] for x in (alo, ahi, blo, bhi, spent))
@@ -101,9 +104,8 @@ def trie_pairs(a: np.ndarray, distance: int = DISTANCE, top: int = 0) -> tuple[n
         nxt = [np.concatenate(x) for x in zip(*parts, strict=True)]
         ok = (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & (nxt[4] <= distance)
         nxt = [x[ok] for x in nxt]
-        for k in range(0, len(nxt[0]), 1 << 17):
-            stack.append((level + 1, *(x[k : k + (1 << 17)] for x in nxt)))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        for k in range(0, len(nxt[0]), FRONTIER):
+            stack.append((level + 1, *(x[k : k + FRONTIER] for x in nxt)))
 
 
 def _split(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
@@ -113,9 +115,8 @@ def _split(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndar
     return np.clip(np.searchsorted(a, head | bit), lo, hi)
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node it is linked with through (i, j): minima pass on, then pointers jump."""
-    root = np.arange(n)
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root, the least node of each one's class, after the links (i, j): minima pass on, then pointers jump."""
     while len(i):
         a, b = root[i], root[j]
         low, high = np.minimum(a, b), np.maximum(a, b)
@@ -132,6 +133,15 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def forest(a: np.ndarray, distance: int = DISTANCE, top: int = 0) -> np.ndarray:
+    """For each of the sorted uint64 the least one (as index) that links of trie_pairs lead to. Pairs are folded in as
+    the walk finds them, so a dense bucket takes no more memory than a sparse one."""
+    root = np.arange(len(a))
+    for i, j in trie_pairs(a, distance, top):
+        root = joined(root, i, j)
+    return root
+
+
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     """(first, size) of `parts` blocks of about equal size."""
     edge = [bits * k // parts for k in range(parts + 1)]
@@ -174,20 +184,14 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT, task_ro
         if not got:
             return
         block, turned = (np.concatenate(x) for x in zip(*got, strict=True))
-        u, v = [], []
         for k, (first, size) in enumerate(blocks):
             a = np.unique(turned[block == k])
-            i, j = trie_pairs(a, distance, size)
+            root = forest(a, distance, size)
             fp = a if first == 0 else (a >> U(first)) | (a << U(64 - first))
-            u.append(fp[i])
-            v.append(fp[j])
-        u, v = np.concatenate(u), np.concatenate(v)
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        root = spanning(len(nodes), at[: len(u)], at[len(u) :])
-        linked = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked].view(np.int64)), pa.array(nodes[root[linked]].view(np.int64))], ["u", "v"])
+            linked = np.flatnonzero(root != np.arange(len(a)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], ["u", "v"])
 
-    return dealt.mapInArrow(join, "u long, v long")
+    return dealt.mapInArrow(giving_back(join), "u long, v long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -250,12 +254,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the least doc_id."""
-    rows = keyed(docs)
-    dropped = simhash_dedup(rows, id_col=KEY).where("doc_id <> component_id").select(F.col("doc_id").alias(KEY))
-    return rows.join(dropped, KEY, "left_anti").select(*docs.columns)
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

@@ -5,9 +5,9 @@ word between, in 2**DIM_BITS dimensions. FTRL-proximal keeps two numbers a coord
 gradients gathered, and n, their squares, which sets the coordinate's own learning rate; a weight is
 zero while |z| stays within l1, so few weights are left, and those are broadcast for scoring.
 
-Scale: fitting reads at most MAX_TRAIN labelled rows, those with the least hashes of doc_id (a
-documented bound, so the one fitting task and the broadcast sample don't grow); scoring is a map
-over all whole texts, without a shuffle.
+Scale: fitting reads at most MAX_TRAIN labelled rows, those with the least hashes of doc_id, one text
+a doc_id, and of these no more after MAX_FEATURES features (documented bounds, so the one fitting
+task and the broadcast sample don't grow); scoring is a map over all whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .kernels import ALNUM, LOWER, Texts, U, giving_back, grouped, pair_hash, span_hash, sums
 
 DIM_BITS = 20
-MAX_TRAIN = 16_000
+MAX_TRAIN, MAX_FEATURES = 16_000, 1 << 26
 THRESHOLD = 0.3
 
 
@@ -88,8 +88,9 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, salt: str = "") ->
     return known.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs: int = 2, dim_bits: int = DIM_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse weights (places, values) from the texts of docs with a label in (doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs: int = 2, dim_bits: int = DIM_BITS, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse weights (places, values) from the texts of docs with a label in (doc_id, toxic). Of several texts of a doc_id
+    the one whose features come first counts."""
     sample = labelled_sample(labels, "toxic", max_train)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -102,11 +103,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs:
                 yield pa.RecordBatch.from_arrays([b.column(0)[k], b.column(2)[k].cast(pa.int32()), pa.array(lists, pa.binary())], ["doc_id", "label", "index"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ys, xs = [], [], []
+        ids, ys, xs, room = [], [], [], max_features
         for b in batches:
-            ids += b.column(0).to_pylist()
-            ys += b.column(1).to_pylist()
-            xs += [np.frombuffer(x, np.int32) for x in b.column(2).to_pylist()]
+            for own, label, index in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                room -= len(index) // 4
+                if room >= 0:
+                    ids.append(own)
+                    ys.append(label)
+                    xs.append(np.frombuffer(index, np.int32))
         model = Ftrl(dim_bits)
         order = sorted(range(len(ids)), key=lambda k: (ids[k], len(xs[k])))  # however the rows come
         rng = np.random.default_rng(7)
@@ -116,8 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs:
         at, w = model.sparse()
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int64).tobytes()]), pa.array([w.astype(np.float64).tobytes()])], ["at", "w"])
 
-    rows = texts.select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, index binary")
-    got = rows.repartition(1).mapInArrow(train, "at binary, w binary").collect()
+    rows = texts.select("doc_id", "text", "label").mapInArrow(giving_back(extract), "doc_id long, label int, index binary")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("index").alias("index"))
+    got = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(giving_back(train), "at binary, w binary").collect()
     if not got:
         return np.zeros(0, np.int64), np.zeros(0)
     return np.frombuffer(got[0]["at"], np.int64), np.frombuffer(got[0]["w"], np.float64)
@@ -148,12 +153,20 @@ def score_texts(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], dim_bit
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(giving_back(run), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, dim_bits: int = DIM_BITS) -> DataFrame:
-    """The rows of docs whose text isn't predicted toxic, with all their columns, in one pass without a shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(~held_out()), max_train, dim_bits=dim_bits))
+    """The rows of docs whose text isn't predicted toxic, with all their columns, in one pass without a shuffle.
+
+    A null or empty text has no features and stays unless the base rate alone reaches the threshold; rows with a null
+    doc_id are judged by their text, repeated rows and ties alike. Without any label to learn from all rows stay. An empty
+    table gives an empty result.
+    """
+    weights = fit(docs, labels.where(~held_out()), max_train, dim_bits=dim_bits)
+    if not len(weights[0]):
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +174,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         for b in batches:
             yield b.filter(pa.array(score(b.column(place)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def held_out() -> Column:

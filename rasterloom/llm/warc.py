@@ -27,8 +27,8 @@ from .shared import file_system, materialize, shared_path
 MAGIC = b"\x1f\x8b\x08"
 DEDUP_BYTES = 1000  # smaller payloads are stored anew each time
 SPLIT_BYTES = 8 << 20
-#: What is read at once, and decoded at once to look for the version line.
-READ_BYTES, HEAD_BYTES = 1 << 20, 512
+#: What is read at once, and decoded at once.
+READ_BYTES, PIECE_BYTES = 1 << 20, 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -103,7 +103,7 @@ class RangeReader:
 
     def __init__(self, file, start: int, end: int, size: int):
         self.file, self.end, self.size = file, end, size
-        self.data, self.at = b"", start  # bytes read, and the file's place of the first of them
+        self.data, self.at = bytearray(), start  # bytes read, and the file's place of the first of them
 
     def _more(self, n: int = READ_BYTES) -> bool:
         """Reads on; False at the end of the file."""
@@ -116,30 +116,37 @@ class RangeReader:
         return bool(got)
 
     def _drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
+
+    def _unpacked(self, at: int, most: int = 0) -> tuple[bytes, int] | None:
+        """The content of the member at data[at], or its first `most` bytes, and where what was read of it ends; None if it
+        breaks off or is damaged. Reads on as far as the member goes, piece by piece."""
+        unpacker, out, size = zlib.decompressobj(31), [], 0
+        while not unpacker.eof and not (most and size >= most):
+            if at == len(self.data) and not self._more():
+                return None
+            piece = bytes(self.data[at : at + PIECE_BYTES])
+            try:
+                out.append(unpacker.decompress(piece, most))
+            except zlib.error:
+                return None
+            size += len(out[-1])
+            at += len(piece) - len(unpacker.unused_data)
+        return b"".join(out), at
 
     def _is_record(self, at: int) -> bool:
         """Whether a member whose header and first bytes decode to a WARC version line starts at data[at]."""
-        while len(self.data) - at < HEAD_BYTES and self._more():
-            pass
-        try:
-            return zlib.decompressobj(31).decompress(self.data[at : at + HEAD_BYTES], 5) == b"WARC/"
-        except zlib.error:
-            return False
+        got = self._unpacked(at, 5)
+        return got is not None and got[0][:5] == b"WARC/"
 
     def _member(self) -> bytes | None:
         """The content of the member at data[0], which is taken off; None if it breaks off or is damaged."""
-        unpacker, out, used = zlib.decompressobj(31), [], 0
-        while not unpacker.eof:
-            if used == len(self.data) and not self._more():
-                return None
-            try:
-                out.append(unpacker.decompress(self.data[used:]))
-            except zlib.error:
-                return None
-            used = len(self.data)
-        self._drop(len(self.data) - len(unpacker.unused_data))
-        return b"".join(out)
+        got = self._unpacked(0)
+        if got is None:
+            return None
+        self._drop(got[1])
+        return got[0]
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         while self.at < self.end:

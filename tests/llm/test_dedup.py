@@ -1,7 +1,9 @@
 """Exact and near duplicates, and removal of repeats, against brute force."""
 
 import hashlib
+import itertools
 import sys
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -108,7 +110,7 @@ def near(f, distance=2):
 def test_trie_pairs(distance, top):
     rng = np.random.default_rng(distance)
     a = np.unique(rng.integers(0, 3000, 800).astype(np.uint64) << np.uint64(42))
-    i, j = S.trie_pairs(a, distance, top)
+    i, j = (np.concatenate(x) for x in zip(*S.trie_pairs(a, distance, top), strict=True))
     want = np.triu(near(a, distance), 1)
     if top:
         want &= (a[:, None] >> np.uint64(64 - top)) == (a[None, :] >> np.uint64(64 - top))
@@ -116,7 +118,21 @@ def test_trie_pairs(distance, top):
 
 
 def test_trie_of_nothing():
-    assert len(S.trie_pairs(np.zeros(0, np.uint64), 2, 21)[0]) == 0
+    assert not list(S.trie_pairs(np.zeros(0, np.uint64), 2, 21)) and not len(S.forest(np.zeros(0, np.uint64)))
+
+
+def test_dense_buckets_take_bounded_memory():
+    """20,000 fingerprints, each within 2 bits of hundreds of others."""
+    bits = np.uint64(1) << np.arange(40, dtype=np.uint64)
+    few = [np.bitwise_or.reduce(bits[list(k)]) for n in range(4) for k in itertools.combinations(range(40), n)]
+    a = np.sort(np.array(few, np.uint64))
+    a = np.unique(np.concatenate([a, a | np.uint64(1 << 63)]))
+    assert len(a) > 20_000
+    tracemalloc.start()
+    root = S.forest(a, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (root == 0).all() and peak < 200e6
 
 
 @pytest.mark.parametrize("hot", [50_000, 1])
@@ -154,15 +170,6 @@ def test_simhash_odd_rows(spark):
     assert [2**62 if r.component_id is None else r.component_id for r in rows] == label.tolist()
 
 
-def test_near_copies_go(spark):
-    base = " ".join(f"word{k * k % 997}" for k in range(800))
-    docs = documents(spark, [(4, base), (2, base.upper()), (9, base.replace("word4 ", "word4 ", 1) + "."), (7, "quite another text of a few words"), (1, None), (3, "")])
-    left = sorted(r.doc_id for r in S.without_near_copies(docs).collect())
-    assert 2 in left and 4 not in left and 7 in left and (1 in left) != (3 in left)
-    twice = docs.union(docs)
-    assert sorted(r.doc_id for r in S.without_near_copies(twice).collect()) == left
-
-
 # Repeats
 
 
@@ -247,4 +254,4 @@ def test_common_prefixes():
 
 def test_empty_tables(spark):
     assert E.exact_dedup(empty(spark)).count() == 0 and S.simhash_dedup(empty(spark)).count() == 0 and R.remove_repeats(empty(spark)).count() == 0
-    assert E.without_exact_copies(empty(spark)).count() == 0 and S.without_near_copies(empty(spark)).count() == 0
+    assert E.without_exact_copies(empty(spark)).count() == 0

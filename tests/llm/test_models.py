@@ -60,6 +60,38 @@ def test_ftrl_is_sparse_and_learns():
     assert len(at) < 20 and dict(zip(at.tolist(), w, strict=True))[7] > 1
 
 
+def test_ftrl_equals_a_scalar_one():
+    """Against the update rule written coordinate by coordinate."""
+    rng = np.random.default_rng(4)
+    model, z, n = T.Ftrl(6, l1=0.3), [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        l1 = 0.3 if i < 64 else 0.0
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((1 + math.sqrt(n[i])) / 1.0 + 0.5)
+
+    for _ in range(300):
+        at = np.unique(rng.integers(0, 64, 5))
+        label = int(3 in at or rng.random() < 0.1)
+        model.learn(at, label)
+        own = [*at.tolist(), 64]
+        w = {i: weight(i) for i in own}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in own:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 1.0 * w[i]
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    at, w = model.sparse()
+    assert dict(zip(at.tolist(), w, strict=True)) == pytest.approx({i: weight(i) for i in range(65) if weight(i)})
+
+
+def test_one_text_a_doc_id_is_learned(spark):
+    docs = documents(spark, [(k, prose(20, ["bad"] if k % 2 else [])) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    one, many = (T.fit(d, labels) for d in (docs, docs.union(docs).union(docs)))
+    assert np.array_equal(one[0], many[0]) and np.array_equal(one[1], many[1])
+    assert T.without_toxic(docs, labels.limit(0)).count() == 60 and T.without_toxic(empty(spark), labels).count() == 0
+
+
 def test_toxicity_held_out(spark):
     docs = documents(spark, [(k, prose(60, ["scumword"] if k % 5 == 0 else [])) for k in range(600)])
     labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(600)], "doc_id long, toxic int")
@@ -230,6 +262,15 @@ def test_rule_counts():
         assert got == [counts_of(t) for t in texts]
 
 
+def test_regular_lines_are_told_apart():
+    a, b = "x", "yz"
+    for _ in range(10):
+        a, b = a + b, b + a
+    assert len(a) == len(b) and a != b
+    counts = Q.rule_counts(next(grouped(pa.array([f"{a}\n{b}", f"{a}\n{b}\n{a}"]))))[0]
+    assert counts["n_dup_lines"].tolist() == [0, 1]
+
+
 def test_statistics_have_their_number():
     assert Q.rule_counts(next(grouped(pa.array(["a b c"]))))[1].shape == (1, Q.STATISTICS)
 

@@ -189,6 +189,15 @@ def test_false_members_and_damage():
     assert [x[-1] for x in read(data, 64)] == [0, 2]
 
 
+def test_long_gzip_headers_and_members():
+    content = W.record_bytes(1, "http://x", bytes(range(256)) * 9000, "00" * 20, "response", None)
+    plain = member(content)
+    named = plain[:3] + b"\x08" + plain[4:10] + b"n" * 40_000 + b"\0" + plain[10:]  # a file name of 40,000 bytes
+    data = member(b"no record") + named + plain
+    for step in (1000, 70_000, len(data)):
+        assert read(data, step) == [content, content]
+
+
 def test_round_trip(spark):
     big = "é" * 600
     rows = [(1, "u", big), (5, None, big), (3, "v", big + "x"), (4, "w", "small"), (6, "w", "small"), (7, "http://x y/\n", None), (8, "", ""), (None, "n", "q" * 2000), (9, "n", big), (9, "n", big), (None, "n", "q" * 2000)]
