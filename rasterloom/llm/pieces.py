@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U, mixed, powers, ragged
+from .kernels import U, giving_back, mixed, powers, ragged
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a space in pieces
@@ -298,7 +298,7 @@ def load(path: str) -> Model:
 
 
 #: Texts are taken together up to so many characters.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 
 
 def _parts(texts: list[str]) -> Iterator[list[str]]:
@@ -334,7 +334,7 @@ def encode_table(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
                 k += len(part)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_bytes long, decoded boolean")
+    return rows.mapInArrow(giving_back(run), "doc_id long, ids array<int>, n_bytes long, decoded boolean")
 
 
 def decode_table(rows: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:

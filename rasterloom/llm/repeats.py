@@ -16,6 +16,9 @@ an equal are compared, and how they are grouped never depends on where they stan
    anchor: its blocks are dealt by content, and its windows are sorted by each task, cut by binary
    search at fixed hash ranges, and merged across tasks range by range.
 
+Equal means, for whole blocks, one hash of the bytes (64 bits) and of the anchor in them (64 bits); for windows of frequent
+anchors, hashes of both halves (64 bits each); in the arrays, equal bytes.
+
 Scale: tasks keep the first of equal blocks or windows before anything is sent, so a group of copies
 sends a row a task; whole texts are shuffled once, by document. Nothing is capped.
 """
@@ -30,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_VALUE, Texts, U, as_bytes, grouped, mixed, powers, prefix_hash, ragged, span_hash
+from .kernels import BYTE_VALUE, Texts, U, as_bytes, byte_spans, giving_back, grouped, mixed, powers, prefix_hash, ragged, span_hash
 from .shared import materialize
 
 LENGTH, ANCHOR = 100, 24
 #: Text bytes of a shard, blocks that a task gathers before it sends them, blocks of one anchor in a task that make it
 #: frequent, bytes of a suffix array.
-SHARD_BYTES, FLUSH_BLOCKS, FREQUENT, ARRAY_BYTES = 8 << 20, 600_000, 64, 4 << 20
+SHARD_BYTES, FLUSH_BLOCKS, FREQUENT, ARRAY_BYTES = 8 << 20, 500_000, 64, 2 << 20
 #: Shards grow in number with the input up to 2**MOST_BITS; a partition takes several, one after the other, beyond MOST_PARTS.
 MOST_BITS, MOST_PARTS = 20, 1 << 16
+#: Of an anchor's hash all but so many bits decide, so that the choice is the same in a text of any length.
+PLACE_BITS = 31
 BLOCK, FREQUENT_BLOCK, MARK, REMOVED = range(4)
 SCHEMA = "shard int, kind int, a binary, b binary, c binary, d binary, e binary"
 
@@ -162,9 +167,12 @@ def blocks(group: Texts, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
     n, none = len(group.buf), np.zeros(0, np.int64)
     if n < length:
         return none.astype(U), none.astype(U), none, none, none
+    if n >> PLACE_BITS:
+        raise ValueError(f"a text of 2**{PLACE_BITS} bytes or more")
     prefix = prefix_hash(BYTE_VALUE[group.buf])
     h = mixed((prefix[anchor:] - prefix[:-anchor]) * powers(n + 1)[1][: n - anchor + 1])
-    place = U((1 << n.bit_length()) - 1)
+    del prefix
+    place = U((1 << PLACE_BITS) - 1)
     least = (h & ~place) | np.arange(len(h), dtype=U)
     wide, span = length - anchor + 1, 1
     end = len(least) - wide + 1
@@ -182,7 +190,7 @@ def blocks(group: Texts, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
     edge, count = edge[inside[edge]], count[inside[edge]]
     text = np.searchsorted(group.start, edge, "right") - 1
     # The least hashes are small numbers: mixed again, they are even over their range, as shards need.
-    return mixed(h[at[edge]] + U(1)), span_hash(prefix, edge, edge + count + length - 1), text, edge - group.start[text], count
+    return mixed(h[at[edge]] + U(1)), span_hash(group.buf, edge, edge + count + length - 1), text, edge - group.start[text], count
 
 
 def _row(shard: int, kind: int, *arrays: np.ndarray) -> tuple:
@@ -222,7 +230,7 @@ def _sent_blocks(anchor: np.ndarray, block: np.ndarray, doc: np.ndarray, at: np.
     """What a task sends of its blocks: the first of equal ones, and the others as removed."""
     order = np.lexsort((at, doc, block))
     anchor, block, doc, at, count = (x[order] for x in (anchor, block, doc, at, count))
-    again = np.concatenate([[False], block[1:] == block[:-1]]) if len(block) else np.zeros(0, bool)
+    again = np.concatenate([[False], (block[1:] == block[:-1]) & (anchor[1:] == anchor[:-1])]) if len(block) else np.zeros(0, bool)
     if again.any():
         yield _row(salt % (1 << bits), REMOVED, *_removed(doc[again], at[again], count[again]))
     anchor, block, doc, at, count = (x[~again] for x in (anchor, block, doc, at, count))
@@ -309,13 +317,11 @@ def _sizes(column: pa.Array) -> np.ndarray:
 def _bytes_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
     """From (doc, text, blocks): blocks with their bytes, by anchor; windows of frequent anchors, by hash."""
     for b in batches:
-        texts = as_bytes(b.column(1))
+        whole, first, end = byte_spans(b.column(1))
         kind, anchor, at, count = (_lists(b.column(2), k) for k in range(4))
         size = _sizes(b.column(2))
-        text = np.repeat(np.arange(len(texts)), size)
         doc = np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)
-        begin = np.cumsum([0, *map(len, texts)])[text] + at
-        whole = np.frombuffer(b"".join(texts), np.uint8)
+        begin = np.repeat(first, size) + at
         own = np.flatnonzero(kind == BLOCK)
         shard = _shard(anchor[own].view(U), bits)
         own, shard = own[np.argsort(shard, kind="stable")], np.sort(shard, kind="stable")
@@ -328,8 +334,7 @@ def _bytes_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
             piece = whole[ragged(begin[o], count[o] + LENGTH - 1)]
             first = np.cumsum(count[o] + LENGTH - 1) - (count[o] + LENGTH - 1)
             start = ragged(first, count[o])
-            prefix = prefix_hash(BYTE_VALUE[piece])
-            one, two = span_hash(prefix, start, start + LENGTH // 2), span_hash(prefix, start + LENGTH // 2, start + LENGTH)
+            one, two = span_hash(piece, start, start + LENGTH // 2), span_hash(piece, start + LENGTH // 2, start + LENGTH)
             wdoc, wat = np.repeat(doc[o], count[o]), ragged(at[o], count[o])
             order = np.lexsort((wat, wdoc, two, one))
             one, two, wdoc, wat = one[order], two[order], wdoc[order], wat[order]
@@ -394,11 +399,11 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataF
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "shard").sortWithinPartitions("shard")
 
-    found = materialize(dealt(docs.mapInArrow(send, SCHEMA)).mapInArrow(_resolve_blocks, FOUND), "blocks")
+    found = materialize(dealt(docs.mapInArrow(giving_back(send), SCHEMA)).mapInArrow(giving_back(_resolve_blocks), FOUND), "blocks")
     texts = docs.repartition(parts, "doc")
     wanted = found.where(F.col("kind") != REMOVED).groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "at", "count")).alias("blocks"))
     fetched = texts.join(wanted, "doc").select("doc", "text", "blocks")
-    edges = dealt(fetched.mapInArrow(lambda it: _batches(_bytes_of(it, bits)), SCHEMA)).mapInArrow(_resolve_windows, FOUND)
+    edges = dealt(fetched.mapInArrow(giving_back(lambda it: _batches(_bytes_of(it, bits))), SCHEMA)).mapInArrow(giving_back(_resolve_windows), FOUND)
     spans = found.where(F.col("kind") == REMOVED).select("doc", "at", "count").unionByName(edges.select("doc", "at", "count"))
     return texts, spans.groupBy("doc").agg(F.collect_list(F.struct("at", "count")).alias("spans"))
 
@@ -445,7 +450,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_bytes, kept, removed = [], [], []
                 for k, text in enumerate(as_bytes(b.column(1)[i : i + 500]), i):
                     s = slice(edge[k] - size[k], edge[k])
-                    left, gone = _kept(text, at[s], count[s]) if size[k] else (text, [])
+                    left, gone = _kept(text, at[s], count[s]) if size[k] else (bytes(text), [])
                     n_bytes.append(len(text))
                     kept.append(left)
                     removed.append([{"start": x, "end": y} for x, y in gone])
@@ -457,7 +462,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>"
     none = F.array().cast("array<struct<at: long, count: long>>")
-    out = texts.join(spans, "doc", "left").select("doc", "text", F.coalesce("spans", none).alias("spans")).mapInArrow(cut, schema)
+    out = texts.join(spans, "doc", "left").select("doc", "text", F.coalesce("spans", none).alias("spans")).mapInArrow(giving_back(cut), schema)
     return out.withColumnRenamed("doc", "doc_id") if back is None else out.join(back, "doc").select("doc_id", *out.columns[1:])
 
 
