@@ -14,6 +14,12 @@ from ..schema import ColorSpace, FileFormat, Format, ImageError, Unsupported, re
 ZIGZAG = np.array([k[2] * 8 + k[3] for k in sorted((x + y, (y if (x + y) % 2 else x), y, x) for y in range(8) for x in range(8))])
 
 
+#: BASIS[pos, at]: what coefficient pos of a block adds to its sample at, in units of 2**-BASIS_BITS.
+BASIS_BITS = 24
+_C = np.where(np.arange(8) == 0, np.sqrt(0.5), 1)[:, None] * np.cos((2 * np.arange(8) + 1) * np.arange(8)[:, None] * np.pi / 16) / 2
+BASIS = np.rint(np.einsum("vy,ux->vuyx", _C, _C).reshape(64, 64) * (1 << BASIS_BITS)).astype(np.int64)
+
+
 def segments(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(marker, place after it, content) up to and with SOS, or EOI."""
     if data[:2] != b"\xff\xd8":
@@ -165,7 +171,8 @@ def to_rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
     return np.clip(np.trunc(rgb), 0, 255).astype(np.uint8)
 
 
-def jpeg(data: bytes, options: ReadOptions) -> dict:
+def _read(data: bytes, options: ReadOptions) -> tuple[dict, list[dict], bytes]:
+    """The record's fields, the frame's components with their tables, and the scan's bytes (empty for the header alone)."""
     if data[:3] != b"\xff\xd8\xff":
         raise ImageError("wrong magic")
     quant: dict[int, np.ndarray] = {}
@@ -234,28 +241,55 @@ def jpeg(data: bytes, options: ReadOptions) -> dict:
         "hres": hres, "vres": vres, "color_space": ColorSpace.SRGB, "comments": comments,
     }
     if options.header_only:
-        return record("jpeg", **fields)
+        return fields, frame, b""
     if not scan:
         raise ImageError("SOS is missing")
-    hmax, vmax = max(c["h"] for c in frame), max(c["v"] for c in frame)
-    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
     for c in frame:
         try:
             c["dc"], c["ac"], c["q"] = codes[0, c["tables"][0]], codes[1, c["tables"][1]], quant[c["tq"]]
         except KeyError as e:
             raise ImageError("a table is missing") from e
+    return fields, frame, scan
+
+
+def _units(fields: dict, frame: list[dict]) -> tuple[int, int]:
+    """Units of the scan in a row, and rows of them."""
+    return -(-fields["width"] // (8 * max(c["h"] for c in frame))), -(-fields["height"] // (8 * max(c["v"] for c in frame)))
+
+
+def _blocks(fields: dict, frame: list[dict], scan: bytes) -> list[np.ndarray]:
+    """Each component's dequantised coefficients (blocks in the order of the scan, 64)."""
+    across, down = _units(fields, frame)
+    for c in frame:
         # Lists: element access is several times faster than in arrays.
         c["coefficients"] = [[0] * 64 for _ in range(across * down * c["h"] * c["v"])]
-    bits = _Bits(scan)
-    _scan(bits, frame, across * down)
-    planes = []
+    _scan(_Bits(scan), frame, across * down)
+    out = []
     for c in frame:
         flat = np.array(c.pop("coefficients"), np.int32)
         flat[:, 0] = np.cumsum(flat[:, 0])
         blocks = np.zeros_like(flat)
         blocks[:, ZIGZAG] = flat
-        blocks = (blocks * c["q"]).astype(np.int16).reshape(-1, 8, 8)
-        px = inverse_dct(blocks).reshape(down, across, c["v"], c["h"], 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * c["v"] * 8, across * c["h"] * 8)
+        out.append((blocks * c["q"]).astype(np.int16))
+    return out
+
+
+def coefficients(data: bytes) -> list[tuple[np.ndarray, dict]]:
+    """(dequantised coefficients, component) of each component."""
+    fields, frame, scan = _read(data, ReadOptions())
+    return list(zip(_blocks(fields, frame, scan), frame, strict=True))
+
+
+def jpeg(data: bytes, options: ReadOptions) -> dict:
+    fields, frame, scan = _read(data, options)
+    if options.header_only:
+        return record("jpeg", **fields)
+    width, height = fields["width"], fields["height"]
+    hmax, vmax = max(c["h"] for c in frame), max(c["v"] for c in frame)
+    across, down = _units(fields, frame)
+    planes = []
+    for c, blocks in zip(frame, _blocks(fields, frame, scan), strict=True):
+        px = inverse_dct(blocks.reshape(-1, 8, 8)).reshape(down, across, c["v"], c["h"], 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * c["v"] * 8, across * c["h"] * 8)
         rows, columns = np.arange(height) * c["v"] // vmax, np.arange(width) * c["h"] // hmax
         planes.append(px[np.ix_(rows, columns)])
     return record("jpeg", data=to_rgb(*planes).tobytes(), **fields)

@@ -178,6 +178,18 @@ def _adam7(raw: bytes, width: int, height: int, comps: int, depth: int, bpp: int
     return out
 
 
+#: A profile may be so many times larger than its compressed form, or so many bytes.
+ICC_TIMES, ICC_BYTES = 4, 1 << 20
+
+
+def _profile(packed: bytes) -> bytes:
+    unpacker = zlib.decompressobj()
+    out = unpacker.decompress(packed, max(ICC_TIMES * len(packed), ICC_BYTES))
+    if not unpacker.eof:
+        raise ImageError("iCCP breaks off or expands too far")
+    return out
+
+
 def png(data: bytes, options: ReadOptions) -> dict:
     if data[:8] != SIGNATURE:
         raise ImageError("wrong signature")
@@ -234,15 +246,14 @@ def png(data: bytes, options: ReadOptions) -> dict:
                     _, _, rest = body.partition(b"\0")
                     if not rest or rest[0]:
                         raise ImageError("iCCP has an unknown method")
-                    fields["icc"] = zlib.decompress(rest[1:])
+                    fields["icc"] = _profile(rest[1:])
                 case b"pHYs":
                     fields["phys"] = dict(zip(("x", "y", "unit"), struct.unpack(">IIB", _sized(kind, body, 9)), strict=True))
                 case b"tIME":
                     fields["time"] = dict(zip(("year", "month", "day", "hour", "minute", "second"), struct.unpack(">HBBBBB", _sized(kind, body, 7)), strict=True))
                 case b"IDAT":
-                    parts.append(body)
-                    if options.header_only:
-                        break
+                    if not options.header_only:
+                        parts.append(body)
         if head is None:
             raise ImageError("IHDR is missing")
         if color == 3 and palette is None:

@@ -39,15 +39,42 @@ def tga_header(b: Column) -> dict[str, Column]:
     return {"valid": comps.isNotNull() & u8(b, 2).isin(1, 2, 3, 9, 10, 11), "width": u16le(b, 12), "height": u16le(b, 14), "components": comps, "orientation": side.bitwiseOR(up)}
 
 
+#: What separates the numbers of a PNM header: space, and comments up to the end of their line.
+GAP = r"(?:[ \t\r\n\x0B\x0C]|#[^\r\n]*(?:[\r\n]|$))+"
+
+
+def _latin(b: Column) -> Column:
+    return F.decode(b, "ISO-8859-1")
+
+
 def pnm_header(b: Column) -> dict[str, Column]:
-    """P1 to P6: width, height and maxval (null for P1 and P4)."""
-    text = F.regexp_replace(F.decode(F.substring(b, 1, 512), "ISO-8859-1"), "#[^\\r\\n]*", "")
-    got = [F.regexp_extract(text, r"^P[1-6]\s+(\d+)\s+(\d+)(?:\s+(\d+))?", k) for k in (1, 2, 3)]
+    """P1 to P6: width, height and maxval (null for P1 and P4). Comments may be of any length."""
+    text = _latin(b)
+    got = [F.regexp_extract(text, rf"^P[1-6]{GAP}(\d+){GAP}(\d+)(?:{GAP}(\d+))?", k) for k in (1, 2, 3)]
     number = [F.when(x != "", x.cast("int")) for x in got]
-    kind = F.substring(text, 2, 1)
+    kind = F.substring(b, 2, 1).cast("string")
     return {"valid": number[0].isNotNull() & number[1].isNotNull(), "width": number[0], "height": number[1], "maxval": F.when(~kind.isin("1", "4"), number[2])}
 
 
+def pfm_header(b: Column) -> dict[str, Column]:
+    """PF, Pf and PF4: width, height, components, and whether samples are little-endian."""
+    text = _latin(b)
+    kind, width, height, scale = (F.regexp_extract(text, r"^(PF4|PF|Pf)\s+(\d+)\s+(\d+)\s+([-+]?[0-9.]+)", k) for k in (1, 2, 3, 4))
+    ok = kind != ""
+    at = {"width": width.cast("int"), "height": height.cast("int"), "components": F.when(kind == "PF4", 4).when(kind == "PF", 3).otherwise(1), "little": scale.startswith("-")}
+    return {"valid": ok, **{k: F.when(ok, v) for k, v in at.items()}}
+
+
+def pam_header(b: Column) -> dict[str, Column]:
+    """P7: width, height, depth, maxval and tuple type, in any order before ENDHDR."""
+    head = F.regexp_extract(_latin(b), r"^P7[\r\n]([\s\S]*?)ENDHDR[\r\n]", 1)
+    number = {n: F.regexp_extract(head, rf"(?m)^[ \t]*{n.upper()}[ \t]+(\d+)", 1) for n in ("width", "height", "depth", "maxval")}
+    kind = F.regexp_extract(head, r"(?m)^[ \t]*TUPLTYPE[ \t]+([^\s]+)", 1)
+    at = {n: F.when(v != "", v.cast("int")) for n, v in number.items()}
+    valid = (head != "") & at["width"].isNotNull() & at["height"].isNotNull() & at["depth"].isNotNull() & at["maxval"].isNotNull()
+    return {"valid": valid, **at, "tuple_type": F.when(kind != "", kind)}
+
+
 def jpeg_kind(b: Column) -> Column:
     """jfif or exif, by the first segment of a JPEG; null for other content."""
     head = F.hex(F.substring(b, 1, 4))

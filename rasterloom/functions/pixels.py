@@ -32,6 +32,11 @@ def trailing_zeros(m: Column) -> Column:
     return F.bit_count(m.bitwiseAND(-m) - 1)
 
 
+def first_set(m: Column) -> Column:
+    """The place of the lowest set bit, from 1; 0 for 0."""
+    return F.when(m == 0, F.lit(0)).otherwise(trailing_zeros(m) + 1)
+
+
 def leading_zeros32(m: Column) -> Column:
     """Of the low 32 bits of a long; 32 for 0."""
     low = m.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
@@ -75,6 +80,18 @@ def swapped16(v: Column) -> Column:
     return F.shiftleft(v.bitwiseAND(F.lit(255)), 8).bitwiseOR(F.shiftright(v, 8).bitwiseAND(F.lit(255)))
 
 
+def swapped32(v: Column) -> Column:
+    """The four bytes of a long's low 32 bits, turned round; a long."""
+    piece = lambda shift: F.shiftright(v, shift).bitwiseAND(F.lit(255).cast("long"))
+    return F.shiftleft(piece(0), 24).bitwiseOR(F.shiftleft(piece(8), 16)).bitwiseOR(F.shiftleft(piece(16), 8)).bitwiseOR(piece(24))
+
+
+def swapped64(v: Column) -> Column:
+    """The eight bytes of a long, turned round."""
+    low, high = v.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(v, 32)
+    return F.shiftleft(swapped32(low), 32).bitwiseOR(swapped32(high))
+
+
 def display_components(fmt: Column) -> Column:
     """Components that a display needs for a format; null for those that can't be shown."""
     table = F.create_map(*[F.lit(int(x)) for kv in COMPONENTS.items() for x in kv])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..codecs import decode
-from ..codecs.jpeg import ZIGZAG, segments
+from ..codecs.jpeg import BASIS, BASIS_BITS, ZIGZAG, coefficients, segments
 from ..codecs.png import ADAM7, chunks
-from ..functions.dispatch import codec
+from ..functions.dispatch import codec, sniffed
 from ..options import ReadOptions
 from ..schema import FIELDS, IMAGE, ImageError
 
@@ -24,17 +25,28 @@ BATCH_BYTES = 32 << 20
 SAMPLES = 1 << 18
 
 
-def decode_images(files: DataFrame, options: ReadOptions | None = None, content: str = "content", codec_col: str | None = None, path: str = "path") -> DataFrame:
-    """Adds the image record (schema.IMAGE) to files; content goes. Rows that can't be decoded have a status and reason.
+#: Fields of the record that need samples.
+SAMPLED = ("data", "len")
 
-    The codec comes from codec_col, or else from the path's extension. A column of files with the name of a field is
-    replaced. One map, no shuffle; batches stay small however large the images are.
+
+def decode_images(files: DataFrame, options: ReadOptions | None = None, content: str = "content", codec_col: str | None = None, path: str = "path", fields: list[str] | None = None) -> DataFrame:
+    """Adds the image record (schema.IMAGE), or those of its fields that are named, to files; content goes. Rows that can't
+    be decoded have a status and reason.
+
+    The codec comes from codec_col, or else from the path's extension; where neither names one, from the content's first
+    bytes. Without fields that need samples none are decoded, so damage behind the header shows no status. A column of
+    files with the name of a field is replaced. One map, no shuffle; batches stay small however large the images are.
     """
     options = options or ReadOptions()
+    fields = FIELDS if fields is None else [n for n in FIELDS if n in fields]
+    if not set(SAMPLED) & set(fields) and not options.header_only:
+        options = replace(options, open_intent="readonly_header")
     kept = [c for c in files.columns if c != content and c not in FIELDS]
-    named = files.select(*kept, F.col(content).alias("_content"), (F.col(codec_col) if codec_col else codec(F.col(path))).alias("_codec"))
-    schema = T.StructType([*files.select(*kept).schema.fields, *IMAGE.fields])
-    arrow = to_arrow_schema(IMAGE)
+    named = F.coalesce(F.col(codec_col) if codec_col else codec(F.col(path)), sniffed(F.col(content)))
+    source = files.select(*kept, F.col(content).alias("_content"), named.alias("_codec"))
+    record = T.StructType([IMAGE[n] for n in fields])
+    schema = T.StructType([*files.select(*kept).schema.fields, *record.fields])
+    types = [f.type for f in to_arrow_schema(record)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,12 +56,12 @@ def decode_images(files: DataFrame, options: ReadOptions | None = None, content:
                 rows.append(decode(b.column(len(kept))[k].as_py(), b.column(len(kept) + 1)[k].as_py(), options))
                 held += len(rows[-1]["data"] or b"") + 1000
                 if held > BATCH_BYTES or k == len(b) - 1:
-                    made = pa.RecordBatch.from_pylist(rows, arrow)
+                    made = [pa.array([r[n] for r in rows], t) for n, t in zip(fields, types, strict=True)]
                     own = [c[first : k + 1] for c in b.columns[: len(kept)]]
-                    yield pa.RecordBatch.from_arrays([*own, *made.columns], [*kept, *FIELDS])
+                    yield pa.RecordBatch.from_arrays([*own, *made], [*kept, *fields])
                     rows, first, held = [], k + 1, 0
 
-    return named.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def to_pixels(images: DataFrame, key: str = "path") -> DataFrame:
@@ -126,6 +138,27 @@ def jpeg_segments(files: DataFrame, key: str = "path", content: str = "content")
     return _exploded(files, key, content, parts, ["seq", "marker", "len", "data"], ["int", "int", "int", "binary"])
 
 
+def jpeg_coefficients(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, component, block, pos, value) of baseline JPEG files: the coefficients that aren't zero, dequantised, prediction
+    undone. Blocks are numbered in the order of the scan, pos is the place in the block, row by row."""
+
+    def parts(data: bytes) -> Iterator[tuple]:
+        for c, (blocks, _) in enumerate(coefficients(data)):
+            block, pos = np.nonzero(blocks)
+            yield from zip([c] * len(block), block.tolist(), pos.tolist(), blocks[block, pos].tolist(), strict=True)
+
+    return _exploded(files, key, content, parts, ["component", "block", "pos", "value"], ["int", "int", "int", "int"])
+
+
+def inverse_dct_by_sum(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, x, v): the samples of blocks of coefficients (keys, pos, value), by the definition: sums over the
+    coefficients of value times basis, a table of 4,096 rows in fixed point. Rounded, shifted by 128, and clamped."""
+    table = values.sparkSession.createDataFrame([(p, x, int(BASIS[p, x])) for p in range(64) for x in range(64)], "pos int, at int, basis long")
+    sums = values.join(F.broadcast(table), "pos").groupBy(*keys, "at").agg(F.sum(F.col("value") * F.col("basis")).alias("s"))
+    level = F.shiftright(F.col("s") + (1 << (BASIS_BITS - 1)), BASIS_BITS) + 128
+    return sums.select(*keys, F.floor(F.col("at") / 8).cast("int").alias("y"), (F.col("at") % 8).alias("x"), F.greatest(F.least(level, F.lit(255)), F.lit(0)).cast("int").alias("v"))
+
+
 def palette_rows(images: DataFrame, key: str = "path") -> DataFrame:
     """(key, idx, r, g, b, a) of images with a palette of three bytes an entry."""
     at = F.posexplode(F.sequence(F.lit(0), F.col("palette.count") - 1)).alias("idx", "entry")

@@ -4,16 +4,18 @@ computes the same numbers from the columns without any codec."""
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import binary as B
 from ..functions import pixels as P
 from ..functions.binary import from_samples
 from ..functions.dispatch import codec, extension, extension_hash
-from ..functions.headers import bmp_header, is_app_marker, is_frame_marker, jpeg_kind, png_header, pnm_header, qoi_header, tga_header
+from ..functions.headers import bmp_header, is_app_marker, is_frame_marker, jpeg_kind, pam_header, pfm_header, png_header, pnm_header, qoi_header, tga_header
 from ..operators import decode as D
 from ..options import ReadOptions
 from ..sources.images import from_base64, from_hex
@@ -59,13 +61,17 @@ def _decoded(rows: DataFrame, key: str, encode, codec_name: str, **options) -> D
     return D.decode_images(R.encoded(rows, key, "v", encode, codec_name), ReadOptions.parse(**options), codec_col="codec")
 
 
-def _gray_query(name: str, encode, codec_name: str, value: str = "q", channel: int | None = None, **options) -> None:
-    sql = GRAY_SQL + f"SELECT vec_id, y, x, {value} AS v FROM g"
+def _gray_query(name: str, encode, codec_name: str, value: str | list[str] = "q", **options) -> None:
+    """value: SQL of the sample, or of each channel's."""
+    if isinstance(value, str):
+        sql = f"SELECT vec_id, y, x, {value} AS v FROM g"
+    else:
+        sql = "SELECT vec_id, y, x, CAST(c AS INT) AS c, CAST(CASE c " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(value)) + f" END AS INT) AS v FROM g, range({len(value)}) r(c)"
 
-    @_query(name, sql)
+    @_query(name, GRAY_SQL + sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         px = D.to_pixels(_decoded(_gray(spark, sf_dir), "vec_id", encode, codec_name, **options), "vec_id")
-        return (px if channel is None else px.where(F.col("c") == channel)).select("vec_id", "y", "x", "v")
+        return px.drop("c") if isinstance(value, str) else px
 
 
 _gray_query("pgm_p5_pixels", lambda v: R.pnm(_square(v)), "pgm")
@@ -82,17 +88,26 @@ for _n, _k in (("none", 0), ("sub", 1), ("up", 2), ("avg", 3), ("paeth", 4), ("m
 _gray_query("png_adam7", lambda v: R.png(_square(v), 0, interlace=True), "png")
 _gray_query("png_gray16_byteorder", lambda v: R.png(_square(v) * 250, 0, depth=16, kind=4), "png", "q * 250", byteOrder="little")
 _gray_query("png_gray16_host_default", lambda v: R.png(_square(v) * 250, 0, depth=16, kind=4), "png", "q * 250")
-_gray_query("bmp_palette_8bpp", lambda v: R.bmp(v.reshape(-1, 8), 8, len(v) // 8, 8, palette=np.column_stack([np.arange(256), 255 - np.arange(256), np.arange(256) // 2])), "bmp", "255 - q", channel=1)
-_gray_query("bmp_rle8", lambda v: R.bmp(R.rle(v.reshape(-1, 8) // 8, 8), 8, len(v) // 8, 8, 1, palette=np.arange(256)[:, None].repeat(3, 1)), "bmp", "q // 8", channel=0)
-_gray_query("bmp_rle4", lambda v: R.bmp(R.rle(v.reshape(-1, 8) // 32, 4), 8, len(v) // 8, 4, 2, palette=(np.arange(16) * 9)[:, None].repeat(3, 1)), "bmp", "(q // 32) * 9", channel=2)
+_gray_query("bmp_palette_8bpp", lambda v: R.bmp(v.reshape(-1, 8), 8, len(v) // 8, 8, palette=np.column_stack([np.arange(256), 255 - np.arange(256), np.arange(256) // 2])), "bmp", ["q", "255 - q", "q // 2"])
+_gray_query("bmp_rle8", lambda v: R.bmp(R.rle(v.reshape(-1, 8) // 8, 8), 8, len(v) // 8, 8, 1, palette=np.arange(256)[:, None].repeat(3, 1)), "bmp", ["q // 8"] * 3)
+_gray_query("bmp_rle4", lambda v: R.bmp(R.rle(v.reshape(-1, 8) // 32, 4), 8, len(v) // 8, 4, 2, palette=(np.arange(16) * 9)[:, None].repeat(3, 1)), "bmp", ["(q // 32) * 9"] * 3)
 for _b in (2, 4):
-    _gray_query(f"bmp_palette_{_b}bpp", lambda v, b=_b: R.bmp(R.packed_rows(v.reshape(-1, 8) >> (8 - b), b), 8, len(v) // 8, b, palette=np.column_stack([np.arange(1 << b) * 3] * 3)), "bmp", f"(q >> {8 - _b}) * 3", channel=0)
+    _gray_query(f"bmp_palette_{_b}bpp", lambda v, b=_b: R.bmp(R.packed_rows(v.reshape(-1, 8) >> (8 - b), b), 8, len(v) // 8, b, palette=np.column_stack([np.arange(1 << b) * 3] * 3)), "bmp", [f"(q >> {8 - _b}) * 3"] * 3)
 _gray_query("bmp_1bpp", lambda v: R.bmp(R.packed_rows(v.reshape(-1, 8) & 1, 1), 8, len(v) // 8, 1, palette=np.zeros((2, 3))), "bmp", "(q % 2) * 255")
-_gray_query("bmp_core_header", lambda v: R.bmp(v.reshape(-1, 8), 8, len(v) // 8, 8, palette=np.arange(256)[:, None].repeat(3, 1), header=12), "bmp", "q", channel=1)
+_gray_query("bmp_core_header", lambda v: R.bmp(v.reshape(-1, 8), 8, len(v) // 8, 8, palette=np.arange(256)[:, None].repeat(3, 1), header=12), "bmp", ["q"] * 3)
 for _d in (1, 2, 4):
     _plte = R.chunk(b"PLTE", bytes(k for i in range(1 << _d) for k in (i * 5, i * 7, i * 11)))
-    _gray_query(f"png_palette_{_d}bit", lambda v, d=_d, e=_plte: R.png(_square(v) >> (8 - d), 3, d, extra=e), "png", f"(q >> {8 - _d}) * 7", channel=1, supportsPalette=False)
-_gray_query("png_palette_adam7", lambda v: R.png(_square(v) >> 6, 3, 2, interlace=True, extra=R.chunk(b"PLTE", bytes(range(12)))), "png", "(q >> 6) * 3 + 2", channel=2, supportsPalette=False)
+    _gray_query(f"png_palette_{_d}bit", lambda v, d=_d, e=_plte: R.png(_square(v) >> (8 - d), 3, d, extra=e), "png", [f"(q >> {8 - _d}) * {_m}" for _m in (5, 7, 11)], supportsPalette=False)
+_gray_query("png_palette_adam7", lambda v: R.png(_square(v) >> 6, 3, 2, interlace=True, extra=R.chunk(b"PLTE", bytes(range(12)))), "png", [f"(q >> 6) * 3 + {_m}" for _m in range(3)], supportsPalette=False)
+
+
+# Depths that don't divide a byte: its last pixel has the bits that are left.
+for _b, _per in ((3, 3), (5, 2), (6, 2), (7, 2)):
+    _kept = (1 << _b) - (1 << (_per * _b - 8))
+    _value = f"CASE x % {_per} WHEN {_per - 1} THEN (q >> {8 - _b}) & {_kept} ELSE q >> {8 - _b} END"
+    _gray_query(f"bmp_palette_{_b}bpp", lambda v, b=_b: R.bmp(R.odd_rows(v.reshape(-1, 8) >> (8 - b), b), 8, len(v) // 8, b, palette=np.column_stack([np.arange(1 << b) + k for k in range(3)])), "bmp", [f"{_value} + {k}" for k in range(3)])
+_gray_query("dib_8bpp", lambda v: R.bmp(v.reshape(-1, 8), 8, len(v) // 8, 8, palette=np.column_stack([np.arange(256), 255 - np.arange(256), np.arange(256) // 2]))[14:], "dib", ["q", "255 - q", "q // 2"])
+_gray_query("bmp_cmyk", lambda v: R.bmp(np.stack([v, 255 - v, v // 2, v * 0 + 7], 1).reshape(-1, 32), 8, len(v) // 8, 32, 11), "bmp", ["q", "255 - q", "q // 2", "7"])
 
 
 @_query("png_palette_trns", GRAY_SQL + "SELECT vec_id, y, x, CAST(c AS INT) AS c, CASE c WHEN 0 THEN q WHEN 1 THEN 255 - q WHEN 2 THEN 7 ELSE CASE WHEN q < 120 THEN q * 2 ELSE 255 END END AS v FROM g, range(4) r(c)")
@@ -241,14 +256,14 @@ WITH t AS (
 """
 
 
-@_query("qoi_runs", RUNS + "SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(v * (x % 1000 + 1)) AS BIGINT) AS total FROM t GROUP BY 1")
+@_query("qoi_runs", RUNS + "SELECT user_id, CAST(3 * count(*) AS BIGINT) AS n, CAST(3 * sum(v * (x % 1000 + 1)) AS BIGINT) AS total FROM t GROUP BY 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pixel row a user: events in order of time, whose types make runs."""
     value = (F.length("event_type") * 20 % 256).alias("v")
     rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", value))).alias("e"))
     rows = rows.select("user_id", F.transform("e", lambda s: s["v"]).alias("v"))
     px = D.to_pixels(_decoded(rows, "user_id", lambda v: R.qoi(v.reshape(1, -1, 1).repeat(3, 2)), "qoi"), "user_id")
-    return px.where("c = 1").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("v") * (F.col("x") % 1000 + 1)).alias("total"))
+    return px.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("v") * (F.col("x") % 1000 + 1)).alias("total"))
 
 
 # JPEG: flat blocks, whose level is the decoded value.
@@ -292,16 +307,75 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corners(_decoded(_flat(spark, sf_dir), "c_custkey", encode, "jpeg"))
 
 
-@_query("jpeg_420", FLAT + "SELECT c_custkey, CAST(20 * 30 AS BIGINT) AS n, " + _TO_RGB.format(y="y", cb="cb", cr="cr") + ", " + _SECOND.format(y="(-y)", cb="(-cb)", cr="cr") + " FROM k")
+@_query("jpeg_420", FLAT + ", p AS (SELECT c_custkey, CAST(i AS INT) AS row, CAST(j AS INT) AS col, y * CASE WHEN i >= 16 AND j >= 24 THEN -1 ELSE 1 END AS ly, cb * CASE WHEN i >= 16 AND j >= 16 THEN -1 ELSE 1 END AS lcb, cr FROM k, range(20) a(i), range(30) b(j)) SELECT c_custkey, row AS y, col AS x, " + _TO_RGB.format(y="ly", cb="lcb", cr="cr") + " FROM p")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """4:2:0, 20 rows by 30 columns: 2 by 2 units of 16 pixels."""
+    """4:2:0, 20 rows by 30 columns: 2 by 2 units of 16 pixels. One luma block and one chroma block have the level of the
+    others turned round; every pixel is compared."""
 
     def encode(v: np.ndarray) -> bytes:
         y, (cb, cr) = np.full((4, 4), v[0]), (np.full((2, 2), x) for x in v[1:])
         y[2, 3], cb[1, 1] = -v[0], -v[1]
         return R.flat_jpeg(y, cb, cr, sampling=(2, 2), size=(20, 30))
 
-    return _corners(_decoded(_flat(spark, sf_dir), "c_custkey", encode, "jpeg"))
+    px = D.to_pixels(_decoded(_flat(spark, sf_dir), "c_custkey", encode, "jpeg"), "c_custkey")
+    return px.groupBy("c_custkey", "y", "x").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(n) for k, n in enumerate("rgb")])
+
+
+# JPEG with all coefficients: eight rows by sixteen columns, two blocks a component.
+
+COEFFICIENTS = GRAY_SQL + """, z AS (
+  SELECT y * 8 + x AS pos, row_number() OVER (ORDER BY x + y, CASE WHEN (x + y) % 2 = 1 THEN y ELSE x END) - 1 AS k FROM range(8) a(y), range(8) b(x)
+), coef AS (
+  SELECT vec_id, CAST(c AS INT) AS component, CAST(block AS INT) AS block, CAST(pos AS INT) AS pos,
+    CAST(CASE WHEN k = 0 THEN q - 128 WHEN block = 1 AND k BETWEEN 20 AND 45 THEN 0 WHEN q % 3 = c THEN floor((q - 128) / 16.0) ELSE 0 END * (1 + (k * 7 + c) % 13) AS INT) AS value
+  FROM z, range(3) r(c), range(2) s(block), g WHERE g.y * 8 + g.x = (k * 5 + c * 11 + block * 3) % 64
+)
+"""
+_AT = np.arange(64)
+
+
+def _coded(v: np.ndarray) -> bytes:
+    planes, quantisers = [], []
+    for c in range(3):
+        q = np.stack([v[(_AT * 5 + c * 11 + block * 3) % 64] for block in range(2)])
+        z = np.where(q % 3 == c, (q - 128) // 16, 0)
+        z[1, 20:46] = 0
+        z[:, 0] = q[:, 0] - 128
+        planes.append(z)
+        quantisers.append(1 + (_AT * 7 + c) % 13)
+    return R.coded_jpeg(planes, quantisers, (8, 16))
+
+
+def _coded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.encoded(_gray(spark, sf_dir), "vec_id", "v", _coded, "jpeg")
+
+
+@_query("jpeg_coefficients", COEFFICIENTS + "SELECT * FROM coef WHERE value <> 0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every coefficient that isn't zero: runs of up to 62 zeros, codes of 2 to 16 bits, quantisers of 8 and 16 bits in zigzag order."""
+    return D.jpeg_coefficients(_coded_files(spark, sf_dir), "vec_id")
+
+
+@_query("jpeg_idct_by_sum", COEFFICIENTS + """, c AS (SELECT u, x, CASE u WHEN 0 THEN sqrt(0.5) ELSE 1 END * cos((2 * x + 1) * u * pi() / 16) / 2 AS b FROM range(8) a(u), range(8) b(x)
+), basis AS (SELECT v.u * 8 + h.u AS pos, v.x AS y, h.x AS x, CAST(round(v.b * h.b * 16777216) AS BIGINT) AS b FROM c v, c h)
+SELECT vec_id, component, block, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(greatest(0, least(255, floor((sum(value * b) + 8388608) / 16777216.0) + 128)) AS INT) AS v
+FROM coef JOIN basis USING (pos) GROUP BY 1, 2, 3, 4, 5""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["vec_id", "component", "block"]
+    return D.inverse_dct_by_sum(D.jpeg_coefficients(_coded_files(spark, sf_dir), "vec_id"), keys).select(*keys, "y", "x", "v")
+
+
+@_query("jpeg_ac", GRAY_SQL + "SELECT DISTINCT vec_id, CAST(384 AS BIGINT) AS n, CAST(0 AS BIGINT) AS far FROM g")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every decoded sample beside the colour of the exact transform's samples, which differ by one at most: so r, g and b
+    are off by 1 + 1.402, 1 + 1.058 and 1 + 1.772 and what truncation adds."""
+    files = _coded_files(spark, sf_dir)
+    px = D.to_pixels(D.decode_images(files, codec_col="codec"), "vec_id")
+    exact = D.inverse_dct_by_sum(D.jpeg_coefficients(files, "vec_id"), ["vec_id", "component", "block"])
+    wide = exact.groupBy("vec_id", "y", (F.col("block") * 8 + F.col("x")).alias("x")).agg(*[F.max(F.when(F.col("component") == k, F.col("v"))).alias(n) for k, n in enumerate(("l", "b", "r"))])
+    rgb = F.array(*P.ycbcr_to_rgb(F.col("l"), F.col("b"), F.col("r")))
+    both = px.join(wide.select("vec_id", "y", "x", rgb.alias("want")), ["vec_id", "y", "x"])
+    return both.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum((F.abs(F.col("v") - F.element_at("want", F.col("c") + 1)) > 3).cast("long")).alias("far"))
 
 
 @_query("ycbcr_to_rgb", LINES + "SELECT l_orderkey, x, " + _TO_RGB.format(y="(r - 128)", cb="(g - 128)", cr="(b - 128)") + " FROM l")
@@ -438,6 +512,103 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", "gamma", F.col("phys.x").alias("phys_x"), "srgb_intent", "time.year", "time.month", "time.day", F.col("background.gray").alias("bkgd"), "width")
 
 
+@_query("png_color_metadata", """
+SELECT o_orderkey, (o_orderkey % 100000) / 100000.0::DOUBLE AS white_x, (o_custkey % 100000) / 100000.0::DOUBLE AS blue_y, CAST(o_custkey % 300 + 1 AS INT) AS icc_len, CAST(o_custkey % 256 AS INT) AS icc_byte,
+  CAST(o_orderkey % 256 AS INT) AS red, CAST(o_custkey % 256 AS INT) AS green, 9 AS blue, CAST(o_custkey % 7 AS INT) AS back_index, CAST(o_orderkey % 256 AS INT) AS gray_key, 'GRAY_ALPHA' AS gray_format
+FROM orders""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cHRM, iCCP, bKGD of colour and of palette images, and a gray tRNS: three files a row, read without samples."""
+
+    def parts(v: np.ndarray) -> tuple[int, int]:
+        return int(v[0]), int(v[1])
+
+    def colour(v: np.ndarray) -> bytes:
+        o, c = parts(v)
+        chroma = [0] * 8
+        chroma[0], chroma[7] = o % 100000, c % 100000
+        extra = R.chunk(b"cHRM", struct.pack(">8I", *chroma)) + R.chunk(b"iCCP", b"name\0\0" + zlib.compress(bytes([c % 256]) * (c % 300 + 1)))
+        return R.png(np.zeros((1, 2, 3), int), 2, extra=extra + R.chunk(b"bKGD", struct.pack(">HHH", o % 256, c % 256, 9)))
+
+    def indexed(v: np.ndarray) -> bytes:
+        return R.png(np.zeros((1, 2, 1), int), 3, extra=R.chunk(b"PLTE", bytes(24)) + R.chunk(b"bKGD", bytes([parts(v)[1] % 7])))
+
+    def keyed(v: np.ndarray) -> bytes:
+        return R.png(np.zeros((1, 2, 1), int), 0, extra=R.chunk(b"tRNS", struct.pack(">H", parts(v)[0] % 256)))
+
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.array("o_orderkey", "o_custkey").alias("v"))
+    read = lambda encode, fields: D.decode_images(R.encoded(rows, "o_orderkey", "v", encode, "png"), codec_col="codec", fields=fields)
+    one, two, three = read(colour, ["chroma", "icc", "background"]), read(indexed, ["background"]), read(keyed, ["trns", "format_name"])
+    icc = F.conv(F.hex(F.substring("icc", 1, 1)), 16, 10).cast("int")
+    one = one.select("o_orderkey", "chroma.white_x", "chroma.blue_y", F.octet_length("icc").alias("icc_len"), icc.alias("icc_byte"), "background.red", "background.green", "background.blue")
+    two = two.select("o_orderkey", F.col("background.index").alias("back_index"))
+    return one.join(two, "o_orderkey").join(three.select("o_orderkey", F.col("trns.gray").alias("gray_key"), F.col("format_name").alias("gray_format")), "o_orderkey")
+
+
+@_query("tga_palette", "SELECT c_custkey, CAST(c_nationkey + 1 AS INT) AS count, CAST(3 * (c_nationkey + 1) AS INT) AS len, CAST(c_custkey % 256 AS INT) AS first FROM customer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.array((F.col("c_custkey") % 256).cast("int"), F.col("c_nationkey").cast("int")).alias("v"))
+    encode = lambda v: R.tga(np.zeros((1, 1, 1), int), palette=bytes([int(v[0])]) * 3 * (int(v[1]) + 1))
+    got = D.decode_images(R.encoded(rows, "c_custkey", "v", encode, "tga"), codec_col="codec", fields=["palette"])
+    return got.select("c_custkey", "palette.count", "palette.len", F.conv(F.hex(F.substring("palette.bytes", 1, 1)), 16, 10).cast("int").alias("first"))
+
+
+#: Codecs whose predicates are held to sound and to broken content, and the byte that is broken.
+_JUDGED = {"png": 1, "qoi": 0, "bmp": 0, "tga": 16, "pgm": 0, "pfm": 1, "pam": 1, "jpeg": 1, "dib": 0}
+
+
+@_query("predicates", "SELECT c_custkey, CAST(c_custkey % 9 AS INT) AS kind, CASE WHEN c_custkey % 9 < 7 THEN c_custkey % 2 = 0 END AS valid, c_custkey % 2 = 0 AS sound FROM customer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepting and rejecting side by side: the header expressions' valid (none for JPEG and DIB), and the decoders."""
+    names = list(_JUDGED)
+
+    def encode(v: np.ndarray) -> bytes:
+        one, px, name = np.zeros((1, 1), int), np.full((2, 2, 3), 9), names[int(v[0])]
+        made = {
+            "png": lambda: R.png(px, 2), "qoi": lambda: R.qoi(px), "bmp": lambda: R.bmp(px.reshape(2, 6), 2, 2, 24), "tga": lambda: R.tga(px), "pgm": lambda: R.pnm(px[:, :, :1]), "pfm": lambda: R.pfm(px / 255),
+            "pam": lambda: R.pam(px, b"RGB"), "jpeg": lambda: R.flat_jpeg(one, one, one), "dib": lambda: R.bmp(px.reshape(2, 6), 2, 2, 24)[14:],
+        }[name]()
+        at = _JUDGED[name]
+        return made[:at] + b"\x07" + made[at + 1 :] if v[1] else made
+
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.array((F.col("c_custkey") % 9).cast("int"), (F.col("c_custkey") % 2).cast("int")).alias("v"))
+    made = R.encoded(rows, "c_custkey", "v", encode, "any").withColumn("codec", F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % 9 + 1).cast("int")))
+    valid = F.lit(None).cast("boolean")
+    for name, header in (("png", png_header), ("qoi", qoi_header), ("bmp", bmp_header), ("tga", tga_header), ("pgm", pnm_header), ("pfm", pfm_header), ("pam", pam_header)):
+        valid = F.when(F.col("codec") == name, header(F.col("content"))["valid"]).otherwise(valid)
+    judged = made.withColumns({"kind": (F.col("c_custkey") % 9).cast("int"), "valid": valid})
+    return D.decode_images(judged, codec_col="codec").select("c_custkey", "kind", "valid", (F.col("status") == 0).alias("sound"))
+
+
+@_query("binary_numbers", """
+SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS f64_be, -CAST(o_totalprice AS DOUBLE) AS f64_le, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS f32_be, CAST(CAST(-o_totalprice AS FLOAT) AS DOUBLE) AS f32_le,
+  -CAST(o_orderkey AS BIGINT) * 1000003 AS i64_be, CAST(o_custkey AS BIGINT) * 1000003 AS i64_le, CAST(18446744073709551615::HUGEINT - o_orderkey AS VARCHAR) AS u64_be, CAST(o_custkey AS VARCHAR) AS u64_le,
+  CAST(o_custkey % 65536 - 32768 AS INT) AS i16_be, CAST(32767 - o_custkey % 65536 AS INT) AS i16_le, CAST(-o_orderkey AS INT) AS i32_be
+FROM orders""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of all widths, both byte orders and floats, read from binaries by column expressions."""
+
+    def encode(v: np.ndarray) -> bytes:
+        price, o, c = float(v[0]), int(v[1]), int(v[2])
+        return struct.pack(">d", price) + struct.pack("<d", -price) + struct.pack(">f", price) + struct.pack("<f", -price) + struct.pack(">q", -o * 1000003) + struct.pack("<q", c * 1000003) + struct.pack(">Q", 2**64 - 1 - o) + struct.pack("<Q", c) + struct.pack(">h", c % 65536 - 32768) + struct.pack("<h", 32767 - c % 65536) + struct.pack(">i", -o)
+
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.array(*[F.col(c).cast("double") for c in ("o_totalprice", "o_orderkey", "o_custkey")]).alias("v"))
+    b = F.col("content")
+    return R.encoded(rows, "o_orderkey", "v", encode, "").select(
+        "o_orderkey", B.f64be(b, 0).alias("f64_be"), B.f64le(b, 8).alias("f64_le"), B.f32be(b, 16).cast("double").alias("f32_be"), B.f32le(b, 20).cast("double").alias("f32_le"), B.i64be(b, 24).alias("i64_be"),
+        B.i64le(b, 32).alias("i64_le"), B.u64be(b, 40).cast("string").alias("u64_be"), B.u64le(b, 48).cast("string").alias("u64_le"), B.i16be(b, 56).alias("i16_be"), B.i16le(b, 58).alias("i16_le"), B.i32be(b, 60).alias("i32_be"),
+    )
+
+
+@_query("byte_swaps", """
+SELECT l_orderkey, l_linenumber, CAST((p & 255) * 16777216 + ((p >> 8) & 255) * 65536 + ((p >> 16) & 255) * 256 + ((p >> 24) & 255) AS BIGINT) AS swapped32,
+  CAST(('0x' || array_to_string(list_reverse([substr(h, 2 * k + 1, 2) for k in range(8)]), ''))::UBIGINT::HUGEINT - CASE WHEN ('0x' || array_to_string(list_reverse([substr(h, 2 * k + 1, 2) for k in range(8)]), ''))::UBIGINT >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS swapped64,
+  CAST(CASE WHEN p % 64 = 0 THEN 0 ELSE bit_count(((p % 64) & -(p % 64)) - 1) + 1 END AS INT) AS first_set
+FROM (SELECT *, CAST(l_partkey AS BIGINT) AS p, lpad(to_hex(CAST(l_partkey AS BIGINT)), 16, '0') AS h FROM lineitem)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_partkey").cast("long")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.swapped32(p).alias("swapped32"), P.swapped64(p).alias("swapped64"), P.first_set(p % 64).cast("int").alias("first_set"))
+
+
 @_query("png_chunk_rows", "SELECT n_nationkey, CAST(s AS INT) AS seq, CASE s WHEN 0 THEN 'IHDR' WHEN 1 THEN 'tEXt' WHEN 2 THEN 'IDAT' ELSE 'IEND' END AS type, CASE s WHEN 0 THEN 13 WHEN 1 THEN CAST(n_nationkey + 1 AS INT) WHEN 2 THEN 10 ELSE 0 END AS len FROM nation, range(4) r(s)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.array((F.col("n_nationkey") + 1).cast("int")).alias("v"))

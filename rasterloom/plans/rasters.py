@@ -106,6 +106,16 @@ def packed_rows(index: np.ndarray, bpp: int) -> np.ndarray:
     return np.packbits(bits.reshape(len(index), -1).astype(np.uint8), axis=1)
 
 
+def odd_rows(index: np.ndarray, bpp: int) -> np.ndarray:
+    """Rows of indexes of 3, 5, 6 or 7 bits: ceil(8/bpp) to a byte, the last with what bits are left, padded to four bytes
+    of width * bpp bits."""
+    h, w = index.shape
+    per = -(-8 // bpp)
+    wide = np.pad(index, ((0, 0), (0, -w % per))).reshape(h, -1, per).astype(np.int64) << 8
+    byte = sum(wide[:, :, j] >> (bpp * (j + 1)) & 255 for j in range(per))
+    return np.pad(byte, ((0, 0), (0, (w * bpp + 31) // 32 * 4 - byte.shape[1])))
+
+
 def rle(index: np.ndarray, bits: int) -> bytes:
     """Run-length codes of (h, w) indexes (or (h, w, 3) pixels): runs of two and more, the rest as literals."""
     out = bytearray()
@@ -204,6 +214,66 @@ def flat_jpeg(y: np.ndarray, cb: np.ndarray, cr: np.ndarray, sampling: tuple[int
     )
 
 
+#: Symbols of the coder's AC table by code length: few short codes, many of 9 and 16 bits. The end of a block comes first.
+_AC = sorted(((run, size) for run in range(16) for size in range(1, 11)), key=lambda rs: (-sum(rs), rs))
+AC_SYMBOLS = bytes([0, 0xF0, *(run << 4 | size for run, size in _AC)])
+AC_COUNTS = bytes([0, 1, 1, 1, 1, 1, 1, 1, 100, 0, 0, 0, 0, 0, 0, 55])
+DC_COUNTS = bytes([0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 0, 0, 0, 0])
+
+
+def _codes(counts: bytes, symbols: bytes) -> dict[int, str]:
+    out, code, k = {}, 0, 0
+    for n, count in enumerate(counts, 1):
+        for _ in range(count):
+            out[symbols[k]] = f"{code:0{n}b}"
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def coded_jpeg(planes: list[np.ndarray], quantisers: list[np.ndarray], size: tuple[int, int]) -> bytes:
+    """JPEG without subsampling from quantised coefficients (blocks in the order of the scan, 64 in zigzag order) and
+    quantisers in that order, of each of three components. The third component's quantiser is written with 16 bits."""
+    dc, ac = _codes(DC_COUNTS, bytes(range(12))), _codes(AC_COUNTS, AC_SYMBOLS)
+    bits: list[str] = []
+    last = [0, 0, 0]
+
+    def number(v: int) -> tuple[int, str]:
+        n = abs(v).bit_length()
+        return n, f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    for block in range(len(planes[0])):
+        for c, plane in enumerate(planes):
+            z = plane[block].tolist()
+            n, text = number(z[0] - last[c])
+            last[c] = z[0]
+            bits.append(dc[n] + text)
+            run, end = 0, max((k for k in range(64) if z[k]), default=0)
+            for v in z[1 : end + 1]:
+                if not v:
+                    run += 1
+                    continue
+                bits.extend([ac[0xF0]] * (run // 16))
+                n, text = number(v)
+                bits.append(ac[run % 16 << 4 | n] + text)
+                run = 0
+            if end < 63:
+                bits.append(ac[0])
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    body = bytes(int(text[k : k + 8], 2) for k in range(0, len(text), 8)).replace(b"\xff", b"\xff\0")
+
+    def segment(marker: int, data: bytes) -> bytes:
+        return bytes((0xFF, marker)) + struct.pack(">H", len(data) + 2) + data
+
+    tables = b"".join(bytes([16 * (k == 2) | k]) + q.astype(">u2" if k == 2 else np.uint8).tobytes() for k, q in enumerate(quantisers))
+    frame = struct.pack(">BHHB", 8, *size, 3) + bytes(x for k in range(3) for x in (k + 1, 0x11, k))
+    return (
+        b"\xff\xd8" + segment(0xDB, tables) + segment(0xC0, frame) + segment(0xC4, b"\0" + DC_COUNTS + bytes(range(12))) + segment(0xC4, b"\x10" + AC_COUNTS + AC_SYMBOLS)
+        + segment(0xDA, bytes((3, 1, 0, 2, 0, 3, 0, 0, 63, 0))) + body + b"\xff\xd9"
+    )
+
+
 def encoded(rows: DataFrame, key: str, values: str, encode: Callable[[np.ndarray], bytes], codec: str) -> DataFrame:
     """(key, content, codec) of (key, array of numbers): encode gets each array. Coding takes far longer than reading, so
     rows are dealt over all cores first, however few files or partitions they come from."""

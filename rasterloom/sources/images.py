@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.decode import decode_images
 from ..options import ReadOptions
-from ..schema import FIELDS, IMAGE
+from ..schema import FIELDS, HEADER, IMAGE
 
 
-def read_images(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False, **options: object) -> DataFrame:
-    """(path, modificationTime, length, image record) of the files: see options.ReadOptions. Filters on path, length and
-    modificationTime placed on the result reach the scan through the pure projection; glob filters names before it."""
+def read_images(
+    spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False, where: Column | str | None = None, fields: list[str] | None = None, **options: object
+) -> DataFrame:
+    """(path, modificationTime, length, image record) of the files: see options.ReadOptions.
+
+    Spark moves no filter and no selection through the decoding map, so both are told here: `where`, on path,
+    modificationTime and length, reaches the scan, and files that it leaves out aren't read; of the record only `fields`
+    are made, and without data no samples are decoded. glob filters names. Names that tell no codec are judged by content.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return decode_images(reader.load(path), ReadOptions.parse(**options))
+    files = reader.load(path)
+    return decode_images(files if where is None else files.where(where), ReadOptions.parse(**options), fields=fields)
+
+
+def read_headers(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False, where: Column | str | None = None, **options: object) -> DataFrame:
+    """(path, modificationTime, length, schema.HEADER) of the files: sizes and kinds, without decoding samples."""
+    return read_images(spark, path, glob, recursive, where, HEADER.fieldNames(), **options)
 
 
 def from_hex(rows: DataFrame, column: str, codec_col: str, **options: object) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import importlib
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from rasterloom.codecs import DECODERS, decode
 from rasterloom.codecs.bmp import masked, run_lengths, unpacked
-from rasterloom.codecs.jpeg import ZIGZAG, inverse_dct, to_rgb
+from rasterloom.codecs.jpeg import BASIS, BASIS_BITS, ZIGZAG, coefficients, inverse_dct, to_rgb
 from rasterloom.names import codec_of, extension_hash
 from rasterloom.options import ReadOptions
 from rasterloom.plans import rasters as R
@@ -284,15 +285,66 @@ def test_jpeg(sampling):
     assert (samples(got).reshape(height, width, 3) == want).all() and got["comments"] == ["hi"]
 
 
+def coded(seed, size=(16, 24)):
+    rng = np.random.default_rng(seed)
+    n = (size[0] // 8) * (size[1] // 8)
+    planes = [np.where(rng.random((n, 64)) < 0.15, rng.integers(-40, 41, (n, 64)), 0) for _ in range(3)]
+    for p in planes:
+        p[:, 0] = rng.integers(-100, 100, n)
+    planes[0][0, 1:] = 0
+    planes[0][0, 63] = -1  # 62 zeros, then the last coefficient: no end of block
+    quantisers = [1 + rng.integers(0, 3, 64) for _ in range(3)]
+    return planes, quantisers, R.coded_jpeg(planes, quantisers, size)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_jpeg_coefficients(seed):
+    planes, quantisers, data = coded(seed)
+    for (got, _), plane, q in zip(coefficients(data), planes, quantisers, strict=True):
+        want = np.zeros_like(got)
+        want[:, ZIGZAG] = plane * q
+        assert (got == want).all()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_jpeg_samples(seed):
+    """Against the exact transform and the colour formula, sample by sample."""
+    planes, quantisers, data = coded(seed)
+    exact = []
+    for plane, q in zip(planes, quantisers, strict=True):
+        flat = np.zeros((len(plane), 64))
+        flat[:, ZIGZAG] = plane * q
+        px = np.clip(np.rint(flat @ BASIS / (1 << BASIS_BITS)) + 128, 0, 255)
+        exact.append(px.reshape(2, 3, 8, 8).transpose(0, 2, 1, 3).reshape(16, 24))
+    got = samples(decode(data, "jpeg")).reshape(16, 24, 3).astype(int)
+    assert abs(got - to_rgb(*exact)).max() <= 4
+    assert abs(got[:, :, 0] - to_rgb(*exact)[:, :, 0].astype(int)).mean() < 0.7
+
+
 def test_jpeg_unsupported_and_broken():
     one = np.zeros((1, 1), int)
     data = R.flat_jpeg(one, one, one)
     at = data.index(b"\xff\xc0")
     assert decode(data[:at] + b"\xff\xc2" + data[at + 2 :], "jpeg")["status"] == Status.UNSUPPORTED
-    assert decode(data[:-6], "jpeg")["status"] == Status.ERROR or decode(data[:-6], "jpeg")["status"] == 0
+    scan = data.index(b"\xff\xda") + 14
+    assert decode(data[: scan + 1], "jpeg")["status"] == Status.ERROR and decode(data[:-2], "jpeg")["status"] == Status.OK
     assert decode(data[: at + 4], "jpeg")["status"] == Status.ERROR
 
 
+def test_profiles_are_bounded():
+    bomb = R.chunk(b"iCCP", b"n\0\0" + zlib.compress(bytes(50 << 20)))
+    assert decode(R.png(px(1, 1, 3), 2, extra=bomb), "png")["status"] == Status.ERROR
+    fair = R.chunk(b"iCCP", b"n\0\0" + zlib.compress(bytes(1000)))
+    assert decode(R.png(px(1, 1, 3), 2, extra=fair), "png")["icc"] == bytes(1000)
+
+
+def test_header_intent_reads_chunks_behind_the_samples():
+    data = R.png(px(2, 2, 3), 2)
+    late = data[:-12] + R.chunk(b"tIME", bytes([7, 230, 1, 2, 3, 4, 5])) + data[-12:]
+    head, whole = decode(late, "png", ReadOptions.parse(openIntent="readonly_header")), decode(late, "png")
+    assert head["time"] == whole["time"] and head["time"]["month"] == 1 and head["data"] is None
+
+
 def test_names():
     assert extension_hash("png") == 0xA9 and extension_hash("JPG") == 0xF7
     assert [codec_of(x) for x in ("a/b.PNG", "a.b/c", "x.jpegx", "x.webp", "x.gif", "none", "x.heic")] == ["png", None, "jpeg", "jpeg", None, None, "heic"]

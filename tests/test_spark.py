@@ -12,7 +12,7 @@ from rasterloom.names import extension_hash as plain_hash
 from rasterloom.operators.decode import decode_images, jpeg_segments, png_chunks, to_pixels
 from rasterloom.plans import queries as plans
 from rasterloom.plans import rasters as R
-from rasterloom.sources.images import from_base64, from_hex, read_images, register
+from rasterloom.sources.images import from_base64, from_hex, read_headers, read_images, register
 from rasterloom.streaming.images import stream_images
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +37,57 @@ def test_read_images(spark, folder):
     assert [(r.width, r.data) for r in head] == [(4, None)]
 
 
+def test_filters_reach_the_scan_and_selections_the_map(spark, folder):
+    path, _ = folder
+    wide = read_images(spark, path, where="length < 150", fields=["width", "status"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(length), LessThan(length,150)]" in plan or "LessThan(length,150)" in plan.split("PushedFilters")[1].split("]")[0]
+    assert wide.columns == ["path", "modificationTime", "length", "status", "width"]
+    assert {r.path[-5:]: (r.status, r.width) for r in wide.where("path like '%.png'").collect()} == {"a.png": (0, 4), "e.png": (-1, None)}
+
+
+def test_headers_decode_no_samples(spark, folder):
+    path, v = folder
+    broken = {r.path[-5:]: r for r in read_headers(spark, path, glob="*.{ppm,QOI}").collect()}
+    assert [(broken[k].status, broken[k].width, broken[k].height) for k in ("c.ppm", "b.QOI")] == [(0, 4, 4)] * 2
+    assert "data" not in read_headers(spark, path).columns
+    short = spark.createDataFrame([("x.png", bytearray(R.png(v, 2, parts=1)[:-20] + R.chunk(b"IEND", b"")))], "path string, content binary")
+    whole = spark.createDataFrame([("x.qoi", bytearray(R.qoi(v)[:26]))], "path string, content binary")
+    assert decode_images(whole, fields=["width", "status"]).first().width == 4
+    assert decode_images(short).first().status == -1
+
+
+def test_content_tells_the_codec_where_the_name_does_not(spark):
+    v = np.arange(12).reshape(2, 2, 3)
+    files = {"x": R.png(v, 2), "y.gif": R.qoi(v), "z.": R.pnm(v), "none": b"what", "w.dat": R.flat_jpeg(*[np.zeros((1, 1), int)] * 3)}
+    rows = spark.createDataFrame([(k, bytearray(x)) for k, x in files.items()], "path string, content binary")
+    got = {r.path: (r.status, r.codec) for r in decode_images(rows).collect()}
+    assert got == {"x": (0, "png"), "y.gif": (0, "qoi"), "z.": (0, "ppm"), "none": (-1, None), "w.dat": (0, "jpeg")}
+
+
+def test_headers_of_any_length(spark):
+    long = b"P5\n#" + b"c" * 2000 + b"\n12 # more\n 34\n#x\n255\n"
+    rows = spark.createDataFrame([(bytearray(long),), (bytearray(b"P4 7 9\n"),), (bytearray(b"P9 1 1"),), (None,)], "b binary")
+    from rasterloom.functions.headers import pnm_header
+
+    got = [tuple(r) for r in rows.select(*[v.alias(k) for k, v in pnm_header(F.col("b")).items()]).collect()]
+    assert got[:3] == [(True, 12, 34, 255), (True, 7, 9, None), (False, None, None, None)]
+
+
+def test_special_floats(spark):
+    import struct
+
+    from rasterloom.functions.binary import f32be, f64le
+
+    values = [0.0, -0.0, 1.5, 5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), -3.4028234663852886e38]
+    rows = spark.createDataFrame([(k, bytearray(struct.pack("<d", v) + struct.pack(">f", v if abs(v) < 1e39 or v - v != 0 else 0.0))) for k, v in enumerate(values)], "k int, b binary")
+    for r in rows.select("k", f64le(F.col("b"), 0).alias("d"), f32be(F.col("b"), 8).alias("f")).collect():
+        want = values[r.k]
+        assert struct.pack("<d", r.d) == struct.pack("<d", want) or want != want and r.d != r.d
+        small = struct.unpack(">f", struct.pack(">f", want if abs(want) < 1e39 or want - want != 0 else 0.0))[0]
+        assert r.f == small or want != want and r.f != r.f
+
+
 def test_pixels(spark, folder):
     path, v = folder
     px = to_pixels(read_images(spark, path, glob="a.png")).orderBy("y", "x", "c").collect()
