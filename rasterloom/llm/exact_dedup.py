@@ -104,7 +104,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of equal texts, that with the largest doc_id."""
+    """The rows of docs that stay: one of equal texts, that with the largest doc_id.
+
+    Null counts as empty. Rows that share a doc_id, or have none (which comes before all others), are told apart by the
+    order of their texts' hashes; of rows repeated in full one stays. All columns are kept, whatever their names. An empty
+    table gives an empty result.
+    """
     rows = keyed(docs)
     dropped = exact_dedup(rows, id_col=KEY).where("not kept").select(F.col("doc_id").alias(KEY))
     return rows.join(dropped, KEY, "left_anti").select(*docs.columns)

@@ -113,7 +113,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The documents of the mix, each as often as taken, with the columns of docs."""
+    """The documents of the mix, each as often as taken, with the columns of docs, whatever their names.
+
+    A null text has size 0; null sources and doc_ids, repeated rows and ties as in mix. An empty table gives an empty result.
+    """
     rows = keyed(docs)
     copies = mix(rows, id_col=KEY, most=most).where("copies > 0").select(F.col("doc_id").alias(KEY), F.col("copies").alias("_copies"))
     return rows.join(copies, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -338,7 +338,9 @@ def encode_table(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
 
 
 def decode_table(rows: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids). Null ids give a null text; bytes that aren't UTF-8 become U+FFFD."""
+    """(doc_id, text) of (doc_id, ids). Null ids give a null text, no ids an empty one; bytes that aren't UTF-8 become
+    U+FFFD. Rows with a null doc_id, repeated rows and ties are decoded each on its own. Other columns are not read. An
+    empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)

@@ -76,7 +76,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def write_archives(rows: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Writes the records of rows as .warc.gz below folder; (path, size) of the archives, as a written table."""
+    """Writes the records of rows as .warc.gz below folder; (name, size) of the archives, as a written table.
+
+    A null page_id is written as null, a null url as about:blank. Repeated rows are records each. Columns besides those of
+    records() are not read. An empty table gives no archive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
@@ -191,7 +195,8 @@ READ_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, pay
 
 def read_archives(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """The records of the archives (name, size) below folder: READ_SCHEMA. Each file is dealt out in ranges of
-    split_bytes. A damaged member is skipped. intact: a response's payload has the size and digest of its header."""
+    split_bytes. A damaged member is skipped; records that other programs wrote have nulls where they don't name a page.
+    Archives given twice are read twice; empty ones, and an empty table of archives, give no rows. Other columns are not read. intact: a response's payload has the size and digest of its header."""
     ranges = archives.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))))
     total = archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
     ranges = ranges.repartition(int(min(max(total, 1), 100_000)), "name", "start")
