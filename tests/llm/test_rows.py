@@ -15,9 +15,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import documents, empty, lowered, odd_documents, words
+from test_similar import kept
 
 from rasterloom.llm import mixing as M
 from rasterloom.llm import tool_calls as C
+from rasterloom.llm import toxicity as T
 from rasterloom.llm import warc as W
 from rasterloom.llm.catalog import QUERIES, SQL
 
@@ -235,13 +237,41 @@ def test_pipeline_stages(spark):
             for r in before.values():
                 groups[lowered(r.text)].append(r.doc_id)
             assert sorted(ids) == sorted(max(g) for g in groups.values())
+        if name == "toxicity":
+            judged = T.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+            assert sorted(ids) == sorted(r.doc_id for r in judged if not r.predicted)
+        if name == "simhash_dedup":
+            every = list(before.values())
+            assert sorted(ids) == sorted(every[k].doc_id for k in kept([(r.doc_id, r.text) for r in every]))
         if name == "mixing":
-            assert max(Counter(ids).values()) <= 3
+            con = duckdb.connect()
+            con.register("documents", docs.toPandas())
+            want = con.execute(f"SELECT doc_id, taken // size AS copies FROM ({SQL['op7_mixing']}) WHERE size > 0").fetchall()
+            sized = {d for d, _ in want}
+            assert Counter(d for d in ids if d in sized) == +Counter(dict(want))
         if name == "encoding":
             assert sorted(ids) == sorted(r.doc_id for r in docs.collect()) and all(r.decoded for r in rows)
         docs = spark.createDataFrame(rows, out.schema)
 
 
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline
+
+    docs = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
+def test_pipeline_rejects_planted_toxic_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = documents(spark, [(k, f"some plain words about matter {k % 37} " * 4 + ("with scumword in it" if k % 6 == 0 else "")) for k in range(400)])
+    spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(0, 400, 2)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()}
+    assert left == {k for k in range(400) if k % 6}
+
+
 def test_pipeline_odd_rows(spark):
     import corpus_pipeline
 
