@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U, giving_back, mixed, powers, ragged
+from .kernels import U, byte_spans, giving_back, mixed, powers, ragged
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a space in pieces
@@ -297,20 +297,18 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-#: Texts are taken together up to so many characters.
-BATCH_CHARS = 1 << 21
+#: Texts are taken together up to so many bytes.
+BATCH_BYTES = 1 << 21
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > BATCH_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+def _parts(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in parts of bounded size, in order; null counts as empty."""
+    _, start, end = byte_spans(column)
+    ends, k = np.cumsum(end - start + 1), 0
+    while k < len(ends):
+        after = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BATCH_BYTES, "right")))
+        yield [x or "" for x in column[k:after].to_pylist()]
+        k = after
 
 
 def encode_table(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,7 +323,7 @@ def encode_table(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
         model = load(model_path)
         for b in batches:
             k = 0
-            for part in _parts([x or "" for x in b.column(1).to_pylist()]):
+            for part in _parts(b.column(1)):
                 ids, bounds = model.encode(part)
                 raw = [t.encode() for t in part]
                 same = [x == y for x, y in zip(raw, model.decode(ids, bounds), strict=True)]

@@ -178,6 +178,18 @@ def _fingerprint_pairs(rows: DataFrame) -> DataFrame:
     return materialize(links.unionByName(equal).distinct(), "pairs")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(key, part) of the keys in links (u, v): equal parts only within a component, though a component may still have
+    several. Each key takes the least of those it is linked with, then that one's, twice; no rounds until nothing changes."""
+    both = links.select(F.col("u").alias("key"), F.least("u", "v").alias("part")).unionByName(links.select(F.col("v").alias("key"), F.least("u", "v").alias("part")))
+    labels = both.groupBy("key").agg(F.min("part").alias("part"))
+    for _ in range(2):
+        labels = materialize(labels, "labels")
+        ahead = labels.where("key <> part").select(F.col("key").alias("part"), F.col("part").alias("ahead"))
+        labels = labels.join(ahead, "part", "left").select("key", F.coalesce("ahead", "part").alias("part"))
+    return labels
+
+
 def similar_links(rows: DataFrame, pairs_a_text: int = PAIRS, rounds: int = ROUNDS) -> DataFrame:
     """Links (u, v) of the keys of rows (KEY, text): their components are those of all pairs that are similar."""
     shared, most, sets = _shared(rows), pairs_a_text * rows.count(), _Sets(rows)
@@ -189,8 +201,7 @@ def similar_links(rows: DataFrame, pairs_a_text: int = PAIRS, rounds: int = ROUN
         links = found if links is None else links.unionByName(found)
         if k and last:
             return links
-        joined = components(links).withColumnRenamed("node", "key")
-        now = shared.join(joined, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+        now = shared.join(_labels(links), "key", "left").withColumn("part", F.coalesce("part", "key"))
         open_groups = now.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("h")
         now = materialize(now.join(open_groups, "h"), "open")
         sizes = now.groupBy("h", "part").count().groupBy("h").agg(F.sum(F.col("count").cast("double")).alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
