@@ -2,11 +2,13 @@
 
 The nearest copies come from the trie join of fingerprints. Those of 64 bits can't give all: at this similarity they lie
 about ten bits apart, where a trie's subtrees no longer get small. The other candidates come from prefixes. All shingles
-have one order, frequent ones last; a set's prefix is its first n - ceil(0.8 n) + 1 shingles, and two sets as similar as
-asked share one of their prefixes' shingles. So no pair is missed, and each candidate is then compared in full.
+have one order; a set's prefix is its first n - ceil(0.8 n) + 1 shingles, and two sets as similar as
+asked share one of their prefixes' shingles. So no pair is missed, and each candidate is then compared in full. In
+the order shingles that only one text has stand first, as far as they are known, so most texts' prefixes hold nothing
+that could have an equal.
 
-Scale: a fifth of the shingles' hashes is shuffled, by hash; what only one text has goes at once. The order comes
-from a sample of the texts and only decides how many candidates there are, never which pairs are found. Where groups
+Scale: a third of the shingles' hashes is shuffled once, by hash, to know which of them several texts have. The order
+only decides how many candidates there are, never which pairs are found. Where groups
 of texts with a common shingle would give too many pairs, each text is first compared with one leader of its group, in
 rounds, and only pairs whose texts no link joins yet are left. The sets of texts that are compared are stored once, and
 read from where they stand: pairs are shuffled, sets aren't. In the worst case, groups that share rare shingles and
@@ -25,6 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, SPACE, Texts, U, giving_back, grouped, mixed, pair_hash, ragged, xxh64
+from .language_model import FILE, FILE_BITS, MOST_BITS, ROW, WORDS
+from .language_model import _batches as row_batches
+from .language_model import _by_shard as by_shard
+from .language_model import _distinct as distinct
+from .language_model import _Files as Files
+from .language_model import _joined as joined_bytes
+from .language_model import _mapped as mapped
+from .language_model import _shard as shard_of
+from .language_model import _slices as slices
 from .row_keys import KEY, keyed
 from .shared import file_system, materialize, shared_path
 from .simhash import components, fingerprint_table, near_links
@@ -32,10 +43,11 @@ from .simhash import components, fingerprint_table, near_links
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
-#: One text of so many is sampled for the order; shingles seen so often there stand last, at most so many.
-SAMPLE, SEEN, MOST_FREQUENT = 8, 4, 500_000
+#: One shingle of so many is counted for the order; text bytes of a shard of these, and hashes that a task counts before it
+#: sends them.
+SAMPLE, SHARD_BYTES, FLUSH = 3, 16 << 20, 600_000
 #: Pairs for each text that are compared without looking for leaders first; rounds of leaders.
-PAIRS, ROUNDS = 50, 4
+PAIRS, ROUNDS = 4, 5
 #: Files that a worker holds open, and sets that it keeps.
 OPEN, READ = 256, 64
 
@@ -62,18 +74,11 @@ def shingle_sets(group: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
     return h[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
 
 
-def prefixes(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in each set's prefix, and the set of each. rank: that of each of the sorted `frequent`, from 1."""
+def prefixes(h: np.ndarray, bounds: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Indexes in h of the shingles in each set's prefix, in the order of `late`, then of the hash."""
     n = np.diff(bounds)
-    owner = np.repeat(np.arange(len(n)), n)
-    late = np.zeros(len(h), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        late = np.where(frequent[at] == h, rank[at], 0)
-    order = np.lexsort((h, late, owner))
-    most = n - -(-NUM * n // DEN) + 1
-    take = order[ragged(bounds[:-1], most)]
-    return h[take], owner[take]
+    order = np.lexsort((h, late, np.repeat(np.arange(len(n)), n)))
+    return order[ragged(bounds[:-1], n - -(-NUM * n // DEN) + 1)]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -83,38 +88,87 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(both) - common)
 
 
-def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts often has, sorted, and their ranks by number of texts."""
+class _Counted:
+    """Of one shingle in `every`, by hash, whether more than one text has it: sorted arrays of those in files of the shared
+    folder, which workers memory-map."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g in grouped(b.column(0)):
-                h, n = np.unique(shingle_sets(g)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    sample = rows.where(F.pmod(F.xxhash64(KEY), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long, n long")
-    seen = sample.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT)
-    got = seen.toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    def __init__(self, rows: DataFrame, every: int):
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.every, self.bits = every, min(MOST_BITS, max(2, int(np.ceil(np.log2(max(1, size / SHARD_BYTES))))))
+        self.folder, self.shift = shared_path(rows.sparkSession, "shingles"), max(0, self.bits - FILE_BITS)
+        folder, bits, shift, counted = self.folder, self.bits, self.shift, self.counted
 
-
-def _shared(rows: DataFrame) -> DataFrame:
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            held, n = [], 0
+            for b in batches:
+                for g in grouped(b.column(0)):
+                    h = shingle_sets(g)[0]
+                    held.append(h[counted(h)])
+                    n += len(held[-1])
+                    if n >= FLUSH:
+                        yield np.concatenate(held)
+                        held, n = [], 0
+            if held:
+                yield np.concatenate(held)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in chunks(batches):
+                h, n = np.unique(chunk, return_counts=True)  # sets: each text counts once
+                yield from row_batches((s, WORDS, h[k], (n[k] > 1).astype(np.uint8)) for s, k in slices(shard_of(h, bits)))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files = Files(folder, shift)
+
+            def found() -> Iterator[tuple]:
+                for shard, held in by_shard(batches):
+                    h, twice = joined_bytes(held[WORDS], 0, "<u8"), joined_bytes(held[WORDS], 1, "u1")
+                    order, edge = distinct(h)
+                    several = (np.diff(np.append(edge, len(h))) > 1) | (np.maximum.reduceat(twice[order], edge) > 0)
+                    yield from files.turn(shard, "key")
+                    files.append(key=h[order[edge]][several])
+                yield from files.close()
+
+            return row_batches(found())
+
+        dealt = rows.select("text").mapInArrow(giving_back(count), ROW).repartitionById(1 << (bits - shift), F.shiftright("shard", shift)).sortWithinPartitions("shard")
+        got = materialize(dealt.mapInArrow(giving_back(merge), ROW), "counted").where(F.col("kind") == FILE).select("shard", "a").collect()
+        self.names = {r["shard"]: bytes(r["a"]).decode() for r in got}  # at most 2**FILE_BITS
+
+    def counted(self, h: np.ndarray) -> np.ndarray:
+        return h % U(self.every) == 0
+
+    def late(self, h: np.ndarray, file) -> np.ndarray:
+        """The order of shingles: 0 for those that one text has, 1 for uncounted ones, 2 for those of several texts."""
+        own = np.flatnonzero(self.counted(h))
+        out = np.ones(len(h), np.int8)
+        name, back = np.unique(h[own], return_inverse=True)
+        several = np.zeros(len(name), bool)
+        for part, k in slices(shard_of(name, self.bits - self.shift)):
+            stored = file(self.names[part]) if part in self.names else name[:0]
+            if len(stored):
+                several[k] = stored[np.minimum(np.searchsorted(stored, name[k]), len(stored) - 1)] == name[k]
+        out[own] = np.where(several, 2, 0)[back]
+        return out
+
+
+def _shared(rows: DataFrame, every: int) -> DataFrame:
     """(h, key, n): the prefix shingles that more than one text has, with the size of the text's set."""
-    sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+    sent = rows.sparkSession.sparkContext.broadcast(_Counted(rows, every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        file = lru_cache(None)(lambda name: mapped(counts.folder, f"{name}.key", "<u8"))
         for b in batches:
             key = b.column(0).to_numpy()
             for g in grouped(b.column(1)):
                 h, bounds = shingle_sets(g)
-                h, owner = prefixes(h, bounds, *sent.value)
-                n = np.diff(bounds)[owner].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[g.first + owner]), pa.array(n)], ["h", "key", "n"])
+                late, n = counts.late(h, file), np.diff(bounds)
+                at = prefixes(h, bounds, late)
+                at = at[late[at] > 0]  # the others have no equal
+                owner = np.searchsorted(bounds, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(key[g.first + owner]), pa.array(n[owner].astype(np.int32))], ["h", "key", "n"])
 
-    # Made twice from the texts: a table of all of them would take more room than the making takes time.
-    entries = rows.select(KEY, "text").mapInArrow(giving_back(run), "h long, key long, n int")
+    entries = materialize(rows.select(KEY, "text").mapInArrow(giving_back(run), "h long, key long, n int"), "prefixes")
     often = entries.groupBy("h").count().where(F.col("count") > 1).select("h")
     return materialize(entries.join(often, "h"), "shared")
 
@@ -178,30 +232,42 @@ def _fingerprint_pairs(rows: DataFrame) -> DataFrame:
     return materialize(links.unionByName(equal).distinct(), "pairs")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(key, part) of the keys in links (u, v): equal parts only within a component, though a component may still have
-    several. Each key takes the least of those it is linked with, then that one's, twice; no rounds until nothing changes."""
-    both = links.select(F.col("u").alias("key"), F.least("u", "v").alias("part")).unionByName(links.select(F.col("v").alias("key"), F.least("u", "v").alias("part")))
+def _labels(found: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(key, part) of keys, from the labels before and the links (u, v) found since: equal parts only within a component,
+    though a component may still have several. Each part takes the least of those it is linked with, then that one's,
+    three times; there are no rounds until nothing changes."""
+    links = found
+    if before is not None:
+        for side in ("u", "v"):
+            links = links.join(before.select(F.col("key").alias(side), F.col("part").alias(f"_{side}")), side, "left")
+        links = links.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")).where("u <> v")
+    least = F.least("u", "v").alias("part")
+    both = links.select(F.col("u").alias("key"), least).unionByName(links.select(F.col("v").alias("key"), least))
     labels = both.groupBy("key").agg(F.min("part").alias("part"))
-    for _ in range(2):
+    for _ in range(3):
         labels = materialize(labels, "labels")
         ahead = labels.where("key <> part").select(F.col("key").alias("part"), F.col("part").alias("ahead"))
         labels = labels.join(ahead, "part", "left").select("key", F.coalesce("ahead", "part").alias("part"))
-    return labels
+    labels = materialize(labels, "labels")
+    if before is None:
+        return labels
+    moved = before.join(labels.select(F.col("key").alias("part"), F.col("part").alias("ahead")), "part", "left").select("key", F.coalesce("ahead", "part").alias("part"))
+    return materialize(moved.unionByName(labels.join(before, "key", "left_anti")), "labels")
 
 
 def similar_links(rows: DataFrame, pairs_a_text: int = PAIRS, rounds: int = ROUNDS) -> DataFrame:
     """Links (u, v) of the keys of rows (KEY, text): their components are those of all pairs that are similar."""
-    shared, most, sets = _shared(rows), pairs_a_text * rows.count(), _Sets(rows)
+    shared, most, sets = _shared(rows, SAMPLE), pairs_a_text * rows.count(), _Sets(rows)
     pairs = tried = _fingerprint_pairs(rows)
-    links = None
+    links = labels = None
     for k in range(rounds + 2):
         sets.add(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
         found = materialize(sets.verified(pairs), "similar")
         links = found if links is None else links.unionByName(found)
         if k and last:
             return links
-        now = shared.join(_labels(links), "key", "left").withColumn("part", F.coalesce("part", "key"))
+        labels = _labels(found, labels)
+        now = shared.join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))
         open_groups = now.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("h")
         now = materialize(now.join(open_groups, "h"), "open")
         sizes = now.groupBy("h", "part").count().groupBy("h").agg(F.sum(F.col("count").cast("double")).alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
