@@ -4,15 +4,18 @@ The nearest copies come from the trie join of fingerprints. Those of 64 bits can
 about ten bits apart, where a trie's subtrees no longer get small. The other candidates come from prefixes. All shingles
 have one order; a set's prefix is its first n - ceil(0.8 n) + 1 shingles, and two sets as similar as
 asked share one of their prefixes' shingles. So no pair is missed, and each candidate is then compared in full. In
-the order shingles that only one text has stand first, as far as they are known, so most texts' prefixes hold nothing
-that could have an equal.
+the order shingles that only one text has stand first, so most texts' prefixes hold nothing that could have an equal; the
+others follow by how many texts have them.
+The first shingle that two sets share has none of the others before it: what stands from there on in the smaller rest
+bounds what they have in common, and a pair that the bound rules out at a shingle is no candidate there.
 
-Scale: a third of the shingles' hashes is shuffled once, by hash, to know which of them several texts have. The order
+Scale: the shingles' hashes are shuffled once, by hash, to know how many texts have them. The order
 only decides how many candidates there are, never which pairs are found. Where groups
-of texts with a common shingle would give too many pairs, each text is first compared with one leader of its group, in
-rounds, and only pairs whose texts no link joins yet are left. The sets of texts that are compared are stored once, and
-read from where they stand: pairs are shuffled, sets aren't. In the worst case, groups that share rare shingles and
-yet aren't similar, the pairs left grow with the square of the group.
+of texts with a common shingle would give too many pairs, each text is first compared with one leader of its group, then
+with a few, and so on in rounds, and only pairs whose texts no link joins yet are left. The sets of texts that are compared are stored once, and
+read from where they stand: pairs are shuffled, sets aren't. A last join still looks at all pairs of a group's parts, if
+only to rule them out; its rows grow with the square of a group only where texts share rare shingles early in the order
+and yet aren't similar.
 """
 
 from __future__ import annotations
@@ -43,11 +46,14 @@ from .simhash import components, fingerprint_table, near_links
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
-#: One shingle of so many is counted for the order; text bytes of a shard of these, and hashes that a task counts before it
-#: sends them.
-SAMPLE, SHARD_BYTES, FLUSH = 3, 16 << 20, 600_000
-#: Pairs for each text that are compared without looking for leaders first; rounds of leaders.
-PAIRS, ROUNDS = 4, 5
+#: One shingle of so many is counted for the order: all, as only known ones can stand first. Text bytes of a shard, times
+#: that; hashes that a task counts before it sends them.
+SAMPLE, SHARD_BYTES, FLUSH = 1, 5 << 20, 600_000
+#: A task's count of a shingle is sent as this at most: the order need not be exact, only the same for all texts.
+MOST = 255
+#: Pairs for each text that are compared without looking for leaders first; rounds of leaders; in each of these a group has so
+#: many times the leaders of the round before, one in the first.
+PAIRS, ROUNDS, LEADERS = 4, 5, 4
 #: Files that a worker holds open, and sets that it keeps.
 OPEN, READ = 256, 64
 
@@ -74,11 +80,13 @@ def shingle_sets(group: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
     return h[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
 
 
-def prefixes(h: np.ndarray, bounds: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Indexes in h of the shingles in each set's prefix, in the order of `late`, then of the hash."""
+def prefixes(h: np.ndarray, bounds: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes in h of the shingles in each set's prefix, in the order of `late`, then of the hash, and how many stand before
+    each one in its set."""
     n = np.diff(bounds)
     order = np.lexsort((h, late, np.repeat(np.arange(len(n)), n)))
-    return order[ragged(bounds[:-1], n - -(-NUM * n // DEN) + 1)]
+    size = n - -(-NUM * n // DEN) + 1
+    return order[ragged(bounds[:-1], size)], ragged(np.zeros_like(size), size)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -89,12 +97,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 class _Counted:
-    """Of one shingle in `every`, by hash, whether more than one text has it: sorted arrays of those in files of the shared
-    folder, which workers memory-map."""
+    """Of one shingle in `every`, by hash, how many texts have it: sorted arrays of those that several have, with the bits of
+    the number's length, in files of the shared folder, which workers memory-map."""
 
     def __init__(self, rows: DataFrame, every: int):
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.every, self.bits = every, min(MOST_BITS, max(2, int(np.ceil(np.log2(max(1, size / SHARD_BYTES))))))
+        self.every, self.bits = every, min(MOST_BITS, max(2, int(np.ceil(np.log2(max(1, size / (SHARD_BYTES * every)))))))
         self.folder, self.shift = shared_path(rows.sparkSession, "shingles"), max(0, self.bits - FILE_BITS)
         folder, bits, shift, counted = self.folder, self.bits, self.shift, self.counted
 
@@ -114,18 +122,18 @@ class _Counted:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches):
                 h, n = np.unique(chunk, return_counts=True)  # sets: each text counts once
-                yield from row_batches((s, WORDS, h[k], (n[k] > 1).astype(np.uint8)) for s, k in slices(shard_of(h, bits)))
+                yield from row_batches((s, WORDS, h[k], np.minimum(n[k], MOST).astype(np.uint8)) for s, k in slices(shard_of(h, bits)))
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files = Files(folder, shift)
 
             def found() -> Iterator[tuple]:
                 for shard, held in by_shard(batches):
-                    h, twice = joined_bytes(held[WORDS], 0, "<u8"), joined_bytes(held[WORDS], 1, "u1")
+                    h, n = joined_bytes(held[WORDS], 0, "<u8"), joined_bytes(held[WORDS], 1, "u1")
                     order, edge = distinct(h)
-                    several = (np.diff(np.append(edge, len(h))) > 1) | (np.maximum.reduceat(twice[order], edge) > 0)
-                    yield from files.turn(shard, "key")
-                    files.append(key=h[order[edge]][several])
+                    n = np.add.reduceat(n[order].astype(np.int64), edge)
+                    yield from files.turn(shard, "key", "length")
+                    files.append(key=h[order[edge]][n > 1], length=np.frexp(n[n > 1])[1].astype(np.uint8))
                 yield from files.close()
 
             return row_batches(found())
@@ -138,37 +146,41 @@ class _Counted:
         return h % U(self.every) == 0
 
     def late(self, h: np.ndarray, file) -> np.ndarray:
-        """The order of shingles: 0 for those that one text has, 1 for uncounted ones, 2 for those of several texts."""
+        """The order of shingles: 0 for those that one text has, 1 for uncounted ones, from 2 on the bits of the number of
+        texts."""
         own = np.flatnonzero(self.counted(h))
-        out = np.ones(len(h), np.int8)
+        out = np.ones(len(h), np.uint8)
         name, back = np.unique(h[own], return_inverse=True)
-        several = np.zeros(len(name), bool)
+        length = np.zeros(len(name), np.uint8)
         for part, k in slices(shard_of(name, self.bits - self.shift)):
-            stored = file(self.names[part]) if part in self.names else name[:0]
+            stored = file(self.names[part], "key", "<u8") if part in self.names else name[:0]
             if len(stored):
-                several[k] = stored[np.minimum(np.searchsorted(stored, name[k]), len(stored) - 1)] == name[k]
-        out[own] = np.where(several, 2, 0)[back]
+                at = np.minimum(np.searchsorted(stored, name[k]), len(stored) - 1)
+                length[k] = np.where(stored[at] == name[k], file(self.names[part], "length", "u1")[at], 0)
+        out[own] = length[back]
         return out
 
 
 def _shared(rows: DataFrame, every: int) -> DataFrame:
-    """(h, key, n): the prefix shingles that more than one text has, with the size of the text's set."""
+    """(h, key, n, rest): the prefix shingles that more than one text has, with the size of the text's set and how much of it
+    stands from there on."""
     sent = rows.sparkSession.sparkContext.broadcast(_Counted(rows, every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
-        file = lru_cache(None)(lambda name: mapped(counts.folder, f"{name}.key", "<u8"))
+        file = lru_cache(None)(lambda name, column, kind: mapped(counts.folder, f"{name}.{column}", kind))
         for b in batches:
             key = b.column(0).to_numpy()
             for g in grouped(b.column(1)):
                 h, bounds = shingle_sets(g)
                 late, n = counts.late(h, file), np.diff(bounds)
-                at = prefixes(h, bounds, late)
-                at = at[late[at] > 0]  # the others have no equal
+                at, before = prefixes(h, bounds, late)
+                at, before = at[late[at] > 0], before[late[at] > 0]  # the others have no equal
                 owner = np.searchsorted(bounds, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(key[g.first + owner]), pa.array(n[owner].astype(np.int32))], ["h", "key", "n"])
+                columns = [h[at].view(np.int64), key[g.first + owner], n[owner].astype(np.int32), (n[owner] - before).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "key", "n", "rest"])
 
-    entries = materialize(rows.select(KEY, "text").mapInArrow(giving_back(run), "h long, key long, n int"), "prefixes")
+    entries = materialize(rows.select(KEY, "text").mapInArrow(giving_back(run), "h long, key long, n int, rest int"), "prefixes")
     often = entries.groupBy("h").count().where(F.col("count") > 1).select("h")
     return materialize(entries.join(often, "h"), "shared")
 
@@ -232,11 +244,10 @@ def _fingerprint_pairs(rows: DataFrame) -> DataFrame:
     return materialize(links.unionByName(equal).distinct(), "pairs")
 
 
-def _labels(found: DataFrame, before: DataFrame | None) -> DataFrame:
-    """(key, part) of keys, from the labels before and the links (u, v) found since: equal parts only within a component,
+def _labels(links: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(key, part) of keys, from the labels before and all links (u, v) so far: equal parts only within a component,
     though a component may still have several. Each part takes the least of those it is linked with, then that one's,
-    three times; there are no rounds until nothing changes."""
-    links = found
+    three times; there are no rounds until nothing changes, but links that still join parts count again the next time."""
     if before is not None:
         for side in ("u", "v"):
             links = links.join(before.select(F.col("key").alias(side), F.col("part").alias(f"_{side}")), side, "left")
@@ -266,18 +277,20 @@ def similar_links(rows: DataFrame, pairs_a_text: int = PAIRS, rounds: int = ROUN
         links = found if links is None else links.unionByName(found)
         if k and last:
             return links
-        labels = _labels(found, labels)
+        labels = _labels(links, labels)
         now = shared.join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))
         open_groups = now.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("h")
         now = materialize(now.join(open_groups, "h"), "open")
         sizes = now.groupBy("h", "part").count().groupBy("h").agg(F.sum(F.col("count").cast("double")).alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
         last = k == rounds or (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0) <= most
-        a = now.select("h", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
+        a = now.select("h", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("part").alias("px"))
         if not last:
-            leader = F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("by"), "x", "nx", "px")).alias("s")
-            a = a.groupBy("h").agg(leader).select("h", "s.x", "s.nx", "s.px")
+            leader = F.min(F.struct(F.xxhash64("x", "h", F.lit(k)).alias("by"), "x", "nx", "rx", "px")).alias("s")
+            some = F.pmod(F.xxhash64("x", F.lit(k)), F.lit(LEADERS**k))
+            a = a.groupBy("h", some).agg(leader).select("h", "s.x", "s.nx", "s.rx", "s.px")
         both = now.join(a, "h").where(F.col("part") != F.col("px"))
-        both = both.where((DEN * F.least("n", "nx") >= NUM * F.greatest("n", "nx")))
+        # Similar sets of n and nx have NUM / (NUM + DEN) of n + nx in common, all in the rests at the first shingle they share.
+        both = both.where((NUM + DEN) * F.least("rest", "rx") >= NUM * (F.col("n") + F.col("nx")))
         pairs = both.select(F.least("key", "x").alias("u"), F.greatest("key", "x").alias("v")).distinct()
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)

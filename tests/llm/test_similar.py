@@ -85,3 +85,39 @@ def test_odd_rows(spark):
     got = [shingles(r.text) for r in left.collect()]
     assert sorted(map(sorted, got)) == sorted(sorted(shingles(rows[k][1])) for k in kept(rows))
     assert N.without_similar(empty(spark)).count() == 0
+
+
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Many edits of one text, a part of them similar: all copies go, without comparing the square of the group."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 300, 150)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for at in rng.integers(0, len(w), int(rng.integers(0, 16))):
+            w[at] = f"w{rng.integers(0, 300)}"
+        rows.append((k, " ".join(w)))
+    compared, verified = [], N._Sets.verified
+
+    def counting(self, pairs):
+        compared.append(pairs.count())
+        return verified(self, pairs)
+
+    monkeypatch.setattr(N._Sets, "verified", counting)
+    want = kept(rows)
+    assert 10 < len(want) < 290
+    assert sorted(r.doc_id for r in N.without_similar(documents(spark, rows).repartition(3)).collect()) == sorted(rows[k][0] for k in want)
+    assert sum(compared) < 20 * len(rows), compared
+
+
+def test_order_of_shingles(spark):
+    """Shingles of one text stand first, then those of few texts; what stands before a shingle is counted."""
+    rows = documents(spark, [(k, "one two three four five " + ("six " if k < 2 else "") + f"own{k}") for k in range(9)])
+    counts = N._Counted(rows, 1)
+    table = lambda name, column, kind: N.mapped(counts.folder, f"{name}.{column}", kind)
+    group = next(N.grouped(N.pa.array([r.text for r in rows.where("doc_id = 0").collect()])))
+    h, bounds = N.shingle_sets(group)
+    late = counts.late(h, table)
+    assert sorted(late.tolist()) == [0, 2, 4]  # of 1, 2 and 9 texts
+    at, before = N.prefixes(h, bounds, late)
+    assert late[at].tolist() == [0] and before.tolist() == [0]
