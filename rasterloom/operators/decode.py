@@ -138,13 +138,16 @@ def jpeg_segments(files: DataFrame, key: str = "path", content: str = "content")
     return _exploded(files, key, content, parts, ["seq", "marker", "len", "data"], ["int", "int", "int", "binary"])
 
 
-def jpeg_coefficients(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def jpeg_coefficients(files: DataFrame, key: str = "path", content: str = "content", every_block: bool = False) -> DataFrame:
     """(key, component, block, pos, value) of baseline JPEG files: the coefficients that aren't zero, dequantised, prediction
-    undone. Blocks are numbered in the order of the scan, pos is the place in the block, row by row."""
+    undone. Blocks are numbered in the order of the scan, pos is the place in the block, row by row. every_block: the first
+    coefficient is there even if it is zero, so a block without others has a row too."""
 
     def parts(data: bytes) -> Iterator[tuple]:
         for c, (blocks, _) in enumerate(coefficients(data)):
-            block, pos = np.nonzero(blocks)
+            there = blocks != 0
+            there[:, 0] |= every_block
+            block, pos = np.nonzero(there)
             yield from zip([c] * len(block), block.tolist(), pos.tolist(), blocks[block, pos].tolist(), strict=True)
 
     return _exploded(files, key, content, parts, ["component", "block", "pos", "value"], ["int", "int", "int", "int"])
@@ -152,7 +155,8 @@ def jpeg_coefficients(files: DataFrame, key: str = "path", content: str = "conte
 
 def inverse_dct_by_sum(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, x, v): the samples of blocks of coefficients (keys, pos, value), by the definition: sums over the
-    coefficients of value times basis, a table of 4,096 rows in fixed point. Rounded, shifted by 128, and clamped."""
+    coefficients of value times basis, a table of 4,096 rows in fixed point. Rounded, shifted by 128, and clamped. A block
+    without any row has no samples: values should have every block (jpeg_coefficients with every_block)."""
     table = values.sparkSession.createDataFrame([(p, x, int(BASIS[p, x])) for p in range(64) for x in range(64)], "pos int, at int, basis long")
     sums = values.join(F.broadcast(table), "pos").groupBy(*keys, "at").agg(F.sum(F.col("value") * F.col("basis")).alias("s"))
     level = F.shiftright(F.col("s") + (1 << (BASIS_BITS - 1)), BASIS_BITS) + 128

@@ -195,6 +195,21 @@ def test_query_matches_sql(spark, con, name):
     assert _canonical(got) == _canonical(want)
 
 
+@pytest.fixture(scope="module")
+def flat(tmp_path_factory):
+    """Embeddings whose samples are all 128: no coefficient is other than zero in any block."""
+    base = tmp_path_factory.mktemp("flat")
+    pd.DataFrame({"vec_id": [1, 2], "embedding": [np.full(64, 0.005, np.float32), np.linspace(-1, 1, 64, dtype=np.float32)]}).to_parquet(base / "embeddings.parquet")
+    return str(base)
+
+
+@pytest.mark.parametrize("name", ["jpeg_idct_by_sum", "jpeg_ac", "jpeg_coefficients"])
+def test_blocks_without_coefficients_have_samples(spark, flat, name):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{flat}/embeddings.parquet'")
+    assert _canonical(plans.QUERIES[name](spark, flat).toPandas()) == _canonical(con.execute(plans.SQL[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
