@@ -107,6 +107,12 @@ def to_pixels(images: DataFrame, key: str = "path") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """A join of two relations that both grow with the input. Spark takes what a map or an explosion makes to be as large as
+    what it gets, and would broadcast a side many times larger through the driver; so it is told to sort and merge."""
+    return left.join(right.hint("merge"), on)
+
+
 def _exploded(files: DataFrame, key: str, content: str, parts, names: list[str], types: list[str]) -> DataFrame:
     schema = T.StructType([files.schema[key], *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))).fields])
     arrow = to_arrow_schema(schema)

@@ -173,6 +173,13 @@ def test_plans_prune_and_stay_native(spark, folder):
     assert "BroadcastHashJoin" in joined and "CartesianProduct" not in joined
 
 
+@pytest.mark.parametrize("name, small", [("jpeg_ac", 1)])
+def test_relations_that_grow_are_not_broadcast(spark, name, small):
+    """Only the table of the transform, 4,096 rows for any input, may go through the driver."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == small and "SortMergeJoin" in plan
+
+
 def _canonical(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)].astype(object).where(lambda d: d.notna(), None)
     fix = lambda x: round(x, 6) if isinstance(x, float) else x
