@@ -180,7 +180,7 @@ def palette_rows(images: DataFrame, key: str = "path") -> DataFrame:
 
 def expand_palette(indexes: DataFrame, palette: DataFrame, key: str = "path") -> DataFrame:
     """Joins indexes (key, y, x, v) with palette rows; an index beyond the palette gives no row."""
-    return indexes.join(palette, (indexes[key] == palette[key]) & (indexes["v"] == palette["idx"])).select(indexes[key], "y", "x", "r", "g", "b", "a")
+    return sorted_join(indexes, palette, (indexes[key] == palette[key]) & (indexes["v"] == palette["idx"])).select(indexes[key], "y", "x", "r", "g", "b", "a")
 
 
 def adam7_table(spark) -> DataFrame:
