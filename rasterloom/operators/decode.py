@@ -221,4 +221,4 @@ def upsampled(plane: DataFrame, grid: DataFrame, key: str, factor_x: tuple[int,
     """Nearest-neighbour samples of plane (key, y, x, v) for grid (key, y, x); a factor is (component, largest)."""
     source = plane.withColumnsRenamed({"y": "sy", "x": "sx"})
     at = grid.withColumns({"sx": F.floor(F.col("x") * factor_x[0] / factor_x[1]).cast("int"), "sy": F.floor(F.col("y") * factor_y[0] / factor_y[1]).cast("int")})
-    return at.join(source, [key, "sy", "sx"]).select(key, "y", "x", "v")
+    return sorted_join(at, source, [key, "sy", "sx"]).select(key, "y", "x", "v")

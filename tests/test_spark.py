@@ -173,7 +173,7 @@ def test_plans_prune_and_stay_native(spark, folder):
     assert "BroadcastHashJoin" in joined and "CartesianProduct" not in joined
 
 
-@pytest.mark.parametrize("name, small", [("jpeg_ac", 1), ("palette_join", 0)])
+@pytest.mark.parametrize("name, small", [("jpeg_ac", 1), ("palette_join", 0), ("upsample_nearest", 0)])
 def test_relations_that_grow_are_not_broadcast(spark, name, small):
     """Only the table of the transform, 4,096 rows for any input, may go through the driver."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
