@@ -7,13 +7,14 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..codecs import decode
 from ..codecs.jpeg import BASIS, BASIS_BITS, ZIGZAG, coefficients, segments
+from ..codecs.many import decode_many
 from ..codecs.png import ADAM7, chunks
 from ..functions.dispatch import codec, sniffed
 from ..options import ReadOptions
@@ -21,6 +22,8 @@ from ..schema import FIELDS, IMAGE, ImageError
 
 #: Decoded bytes that are held before a batch is handed on: a row may be megabytes.
 BATCH_BYTES = 32 << 20
+#: Bytes of files that are decoded together at most.
+CONTENT_BYTES = 16 << 20
 #: Samples of a batch of pixels.
 SAMPLES = 1 << 18
 
@@ -49,21 +52,115 @@ def decode_images(files: DataFrame, options: ReadOptions | None = None, content:
     types = [f.type for f in to_arrow_schema(record)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[dict] = []
-            first = held = 0
-            for k in range(len(b)):
-                rows.append(decode(b.column(len(kept))[k].as_py(), b.column(len(kept) + 1)[k].as_py(), options))
-                held += len(rows[-1]["data"] or b"") + 1000
-                if held > BATCH_BYTES or k == len(b) - 1:
-                    made = [pa.array([r[n] for r in rows], t) for n, t in zip(fields, types, strict=True)]
-                    own = [c[first : k + 1] for c in b.columns[: len(kept)]]
-                    yield pa.RecordBatch.from_arrays([*own, *made], [*kept, *fields])
-                    rows, first, held = [], k + 1, 0
+        for b in (part for whole in batches for part in bounded(whole, len(kept))):
+            own = b.select(range(len(kept)))
+            for places, columns in record_columns(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), options, fields):
+                made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.take(pa.array(places)).columns, *made], [*kept, *fields])
 
     return source.mapInArrow(run, schema)
 
 
+def bounded(b: pa.RecordBatch, content: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, each of CONTENT_BYTES of its column of contents at most, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(content)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(b):
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CONTENT_BYTES, "right")))
+        yield b.slice(first, end - first)
+        first = end
+
+
+def record_columns(files: list[bytes | None], codecs: list[str | None], options: ReadOptions, fields: list[str]) -> Iterator[tuple[list[int], list[list]]]:
+    """The places of files and a list of values for each field, a bounded part of the files at a time, each part in order."""
+    held, places, columns = 0, [], [[] for _ in fields]
+
+    def part() -> tuple[list[int], list[list]]:
+        order = np.argsort(places).tolist()
+        return [places[k] for k in order], [[c[k] for k in order] for c in columns]
+
+    for own, shared, differing in decode_many(files, codecs, options):
+        places.extend(own)
+        for name, column in zip(fields, columns, strict=True):
+            values = differing.get(name)
+            column.extend([shared[name]] * len(own) if values is None else [v.tobytes() for v in values] if isinstance(values, np.ndarray) else values)
+        held += len(own) * (len(shared["data"] or b"") + 1000)
+        if held > BATCH_BYTES:
+            yield part()
+            held, places, columns = 0, [], [[] for _ in fields]
+    if places:
+        yield part()
+
+
+#: A batch of files in a map: an array of keys, contents, and the names of codecs.
+Files = tuple[pa.Array, list[bytes | None], list[str | None]]
+
+
+def pixel_schema(key: T.StructField, channels: dict[str, int] | None) -> T.StructType:
+    names = ["y", "x", *(["c", "v"] if channels is None else channels)]
+    return T.StructType([T.StructField(key.name, key.dataType), *[T.StructField(n, T.IntegerType()) for n in names]])
+
+
+def pixel_batches(batches: Iterator[Files], schema: T.StructType, options: ReadOptions, channels: dict[str, int] | None) -> Iterator[pa.RecordBatch]:
+    """The relation of file_pixels, in the map: samples of many small images make a batch, a large one is cut into several."""
+    names = schema.fieldNames()
+    for keys, files, codecs in batches:
+        held: list[tuple] = []
+        n = 0
+
+        def batch() -> pa.RecordBatch:
+            own, *numbers = zip(*held, strict=True)
+            rows = [len(x) for x in own]
+            made = [pa.array(np.concatenate([np.zeros(k, np.int32) if x is None else x for x, k in zip(c, rows, strict=True)]), mask=np.concatenate([np.full(k, x is None) for x, k in zip(c, rows, strict=True)]) if any(x is None for x in c) else None) for c in numbers]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(own))), *made], names)
+
+        for places, shared, differing in decode_many(files, codecs, options):
+            data = differing.get("data", [shared["data"]] * len(places))
+            if shared["status"] or data[0] is None:
+                continue
+            width, height, pad, size = shared["width"], shared["height"], shared["row_pad"], 2 if shared["bits_per_component"] == 16 else 1
+            comps = shared["components"] or 1
+            row = width * comps * size
+            if len(data[0]) != (row + pad) * height:
+                continue
+            v = data if isinstance(data, np.ndarray) else np.frombuffer(b"".join(data), np.uint8)
+            v = v.reshape(len(places), height, row + pad)[:, :, :row]
+            if size == 2:
+                v = np.ascontiguousarray(v).view("<u2" if shared["byte_order"] in (0, 1) else ">u2")
+            v = v.reshape(len(places), -1) if channels is None else v.reshape(len(places), -1, comps)
+            here, per = np.array(places), v.shape[1]
+            images, part = max(1, SAMPLES // (per * (1 if channels is None else comps))), SAMPLES // (1 if channels is None else comps) or 1
+            for i in range(0, len(here), images):
+                for j in range(0, per, part):
+                    some = v[i : i + images, j : j + part].astype(np.int32)
+                    at = np.arange(j, j + some.shape[1], dtype=np.int32)
+                    times = len(some)
+                    if channels is None:
+                        numbers = [np.tile(at // (width * comps), times), np.tile(at // comps % width, times), np.tile(at % comps, times), some.ravel()]
+                    else:
+                        numbers = [np.tile(at // width, times), np.tile(at % width, times), *(some[:, :, c].ravel() if c < comps else None for c in channels.values())]
+                    held.append((np.repeat(here[i : i + images], some.shape[1]), *numbers))
+                    n += some.size
+                    if n >= SAMPLES:
+                        yield batch()
+                        held, n = [], 0
+        if held:
+            yield batch()
+
+
+def file_pixels(files: DataFrame, options: ReadOptions | None = None, key: str = "path", content: str = "content", codec_col: str | None = None, channels: dict[str, int] | None = None) -> DataFrame:
+    """to_pixels(decode_images(files)) in one map: samples aren't handed to Spark and back as records. channels: (key, y, x,
+    names), a row a pixel with a column for each of these channels, null where the image has no such channel."""
+    named = F.coalesce(F.col(codec_col) if codec_col else codec(F.col("path")), sniffed(F.col(content)))
+    schema = pixel_schema(files.schema[key], channels)
+    own = options or ReadOptions()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pixel_batches(((b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()) for whole in batches for b in bounded(whole, 1)), schema, own, channels)
+
+    return files.select(F.col(key).alias(key), F.col(content).alias("_content"), named.alias("_codec")).mapInArrow(run, schema)
+
+
 def to_pixels(images: DataFrame, key: str = "path") -> DataFrame:
     """(key, y, x, c, v) of decoded images: a row a sample, row padding left out, 16-bit samples as one number. Images
     whose samples are packed below 8 bits or that failed give no rows."""

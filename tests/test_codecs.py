@@ -46,6 +46,11 @@ def test_pnm_comments_and_white_space_pixels():
     assert decode(b"P2\n2 2\n255\n1 2 # c\n3 300", "pgm")["data"] == bytes((1, 2, 3, 255))
 
 
+@pytest.mark.parametrize("text", [b"1 2 3", b"1 2 3 \n", b"", b"1 2 3 x"])
+def test_pnm_text_with_too_few_numbers(text):
+    assert decode(b"P2\n2 2\n255\n" + text, "pgm")["status"] == Status.ERROR
+
+
 @pytest.mark.parametrize("w", [8, 10, 1])
 @pytest.mark.parametrize("ascii_", [False, True])
 def test_pbm(w, ascii_):

@@ -9,7 +9,8 @@ from rasterloom.functions import pixels as P
 from rasterloom.functions.binary import i32le, samples, u16be, u16le, u32be, u32le
 from rasterloom.functions.dispatch import codec, extension_hash, sniffed
 from rasterloom.names import extension_hash as plain_hash
-from rasterloom.operators.decode import decode_images, jpeg_segments, png_chunks, to_pixels
+from rasterloom.operators import decode as D
+from rasterloom.operators.decode import decode_images, file_pixels, jpeg_segments, png_chunks, to_pixels
 from rasterloom.plans import queries as plans
 from rasterloom.plans import rasters as R
 from rasterloom.sources.images import from_base64, from_hex, read_headers, read_images, register
@@ -173,6 +174,64 @@ def test_plans_prune_and_stay_native(spark, folder):
     assert "BroadcastHashJoin" in joined and "CartesianProduct" not in joined
 
 
+@pytest.fixture(scope="module")
+def several(spark):
+    """Files of several formats and sizes, some of them broken, foreign or missing."""
+    rng = np.random.default_rng(2)
+    px = lambda k, c: rng.integers(0, 256, (k % 3 + 1, k % 4 + 1, c))
+    kinds = [("png", lambda k: R.png(px(k, 3), 2)), ("qoi", lambda k: R.qoi(px(k, 4))), ("ppm", lambda k: R.pnm(px(k, 3), ascii_=True)), ("pgm", lambda k: R.pnm(px(k, 1) * 9, maxval=65535)), ("jpg", lambda k: R.flat_jpeg(*[rng.integers(-9, 9, (1, 1))] * 3))]
+    files = [(f"{k}.{name}", bytearray(make(k)) if k % 9 else None if k % 2 else bytearray(make(k)[:-3])) for name, make in kinds for k in range(40)]
+    return spark.createDataFrame([*files, ("x.txt", bytearray(b"text"))], "path string, content binary").repartition(3)
+
+
+def test_pixels_in_one_map(several, monkeypatch):
+    want = sorted(map(tuple, to_pixels(decode_images(several)).collect()))
+    assert sorted(map(tuple, file_pixels(several).collect())) == want and len(want) > 1000
+    wide = file_pixels(several, channels={"a": 3, "g": 1})
+    long = {r[:4]: r[4] for r in want}
+    assert {tuple(r[:3]): (r.a, r.g) for r in wide.collect()} == {(p, y, x): (long.get((p, y, x, 3)), long.get((p, y, x, 1))) for p, y, x, _ in long}
+
+
+def test_bounded_parts_are_the_whole():
+    import pyarrow as pa
+
+    sizes = [0, 5, 30, 7, 0, 0, 90, 1]
+    b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([None if k == 4 else b"x" * n for k, n in enumerate(sizes)], pa.binary())], ["k", "content"])
+    D.CONTENT_BYTES, before = 35, D.CONTENT_BYTES
+    try:
+        parts = [p.column(0).to_pylist() for p in D.bounded(b.slice(1), 1)]
+    finally:
+        D.CONTENT_BYTES = before
+    assert parts == [[1, 2], [3, 4, 5], [6], [7]]
+
+
+def test_large_and_small_images_share_a_batch(monkeypatch):
+    """Parts are cut by samples; what is cut comes out whole."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from rasterloom.options import ReadOptions
+
+    monkeypatch.setattr(D, "SAMPLES", 50)
+    rng = np.random.default_rng(4)
+    made = [rng.integers(0, 256, (h, w, 3)) for h, w in [(2, 3)] * 30 + [(20, 30), (1, 1), (160, 120)]]
+    for channels in (None, {"r": 0, "b": 2}):
+        schema = D.pixel_schema(T.StructField("k", T.LongType()), channels)
+        parts = list(D.pixel_batches(iter([(pa.array(range(len(made))), [R.pnm(v) for v in made], ["ppm"] * len(made))]), schema, ReadOptions(), channels))
+        assert max(map(len, parts)) <= 100
+        got = sorted(zip(*(sum((p.column(i).to_pylist() for p in parts), []) for i in range(5)), strict=True))
+        if channels:
+            assert got == [(k, y, x, v[y, x, 0], v[y, x, 2]) for k, v in enumerate(made) for y in range(v.shape[0]) for x in range(v.shape[1])]
+        else:
+            assert got == [(k, y, x, c, v[y, x, c]) for k, v in enumerate(made) for y in range(v.shape[0]) for x in range(v.shape[1]) for c in range(3)]
+
+
+@pytest.mark.parametrize("name", ["png_color_metadata"])
+def test_files_are_made_and_decoded_in_one_map(spark, name):
+    """No join, and no record that goes to Spark and back: a task has one worker."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 @pytest.mark.parametrize("name, small", [("jpeg_ac", 1), ("palette_join", 0), ("upsample_nearest", 0)])
 def test_relations_that_grow_are_not_broadcast(spark, name, small):
     """Only the table of the transform, 4,096 rows for any input, may go through the driver."""
