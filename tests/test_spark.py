@@ -225,7 +225,7 @@ def test_large_and_small_images_share_a_batch(monkeypatch):
             assert got == [(k, y, x, c, v[y, x, c]) for k, v in enumerate(made) for y in range(v.shape[0]) for x in range(v.shape[1]) for c in range(3)]
 
 
-@pytest.mark.parametrize("name", ["png_color_metadata", "bmp_16_555", "jpeg_420", "bmp_565_bitfields", "bmp_32_alpha", "bmp_32_bitfields", "png_rgb_trns_key", "bmp_24", "bmp_rle4", "ppm_p6_stats", "qoi_roundtrip", "pgm_p2_pixels", "png_rgb", "jpeg_baseline_flat", "bmp_rle24", "png_metadata", "ppm_scaled_maxval", "qoi_rgba", "pam_rgb"])
+@pytest.mark.parametrize("name", ["png_color_metadata", "bmp_16_555", "jpeg_420", "bmp_565_bitfields", "bmp_32_alpha", "bmp_32_bitfields", "png_rgb_trns_key", "bmp_24", "bmp_rle4", "ppm_p6_stats", "qoi_roundtrip", "pgm_p2_pixels", "png_rgb", "jpeg_baseline_flat", "bmp_rle24", "png_metadata", "ppm_scaled_maxval", "qoi_rgba", "pam_rgb", "ppm_p3_stats"])
 def test_files_are_made_and_decoded_in_one_map(spark, name):
     """No join, and no record that goes to Spark and back: a task has one worker."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
